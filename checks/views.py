@@ -112,3 +112,82 @@ WHERE NOT EXISTS (SELECT 1 FROM question_domains d WHERE d.query_id = q.query_id
    OR EXISTS (SELECT 1 FROM question_domains d JOIN call_edges x ON x.edge = 'IN_DOMAIN' AND x.target = d.domain
               WHERE d.query_id = q.query_id AND x.transcript_id = e.transcript_id)
 GROUP BY 1, 2""")
+
+
+# --- calls: conversations as nested call documents ---------------------------------
+
+#: Utterances per nested document; a longer conversation continues in the next part.
+PART_UTTERANCES = 1000
+
+view("turns_conv", """
+SELECT cast(conv_id AS VARCHAR) AS transcript_id, turn AS utterance_idx,
+       CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'Customer' ELSE 'System' END AS speaker,
+       text AS utterance, (length(text) % 200 - 100) / 100.0::DOUBLE AS score, turn // 1000 AS part
+FROM conversations""")
+view("spoken", "SELECT transcript_id, utterance_idx, speaker, utterance FROM turns_conv WHERE speaker <> 'System'")
+view("conv_calls", r"""
+SELECT transcript_id, part,
+       CASE WHEN count(*) FILTER (speaker = 'System') > 0 THEN NULL ELSE 'Retail' END AS domain,
+       arg_max(speaker, utterance_idx) AS intent,
+       substr(arg_min(utterance, utterance_idx) FILTER (speaker = 'Customer'), 1, 40) AS reason_for_call,
+       arg_min(utterance, utterance_idx) FILTER (speaker = 'Agent') AS call_summary,
+       arg_max(utterance, utterance_idx) FILTER (speaker = 'Agent') AS outcome
+FROM turns_conv GROUP BY 1, 2""")
+view("conv_drivers", r"""
+SELECT transcript_id, part, utterance_idx, speaker AS driver, utterance AS definition, score,
+       lower(regexp_extract(utterance, '\p{L}+')) AS keyword
+FROM turns_conv WHERE speaker <> 'System'""")
+
+
+def turns_conv(spark, sf):
+    speaker = F.when(F.col("role") == "assistant", "Agent").when(F.col("role") == "user", "Customer").otherwise("System")
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("transcript_id"),
+        F.col("turn").alias("utterance_idx"),
+        speaker.alias("speaker"),
+        F.col("text").alias("utterance"),
+        ((F.length("text") % 200 - 100) / 100.0).alias("score"),
+        F.floor(F.col("turn") / PART_UTTERANCES).alias("part"),
+    )
+
+
+def calls_conv(spark, sf):
+    """Nested calls; one document holds at most PART_UTTERANCES utterances."""
+    said = turns_conv(spark, sf)
+    agent, customer = F.col("speaker") == "Agent", F.col("speaker") == "Customer"
+    idx = F.col("utterance_idx")
+    spoken_part = F.col("speaker") != "System"
+    ordered = lambda item: F.transform(
+        F.array_sort(F.collect_list(F.struct("utterance_idx", item.alias("item")))), lambda s: s["item"]
+    )
+    turn = F.struct(
+        F.array(F.struct("speaker", "utterance")).alias("conversation"),
+        F.struct("score", F.when(F.col("score") < 0, "negative").otherwise("positive").alias("label")).alias("sentiment"),
+    )
+    predefined = F.when(spoken_part, F.struct(F.col("speaker").alias("driver"), idx.alias("dialogue_pair_index"),
+                                              F.col("score").alias("sentiment")))
+    identified = F.when(spoken_part, F.struct(
+        F.lower(F.regexp_extract("utterance", r"(\p{L}+)", 1)).alias("keyword"),
+        F.col("utterance").alias("definition"), idx.alias("dialogue_pair_index"), F.col("score").alias("sentiment")))
+    present = lambda c: F.filter(c, lambda x: x.isNotNull())
+    nested = said.groupBy("transcript_id", "part").agg(
+        F.when(F.max((~spoken_part).cast("int")) > 0, F.lit(None)).otherwise(F.lit("Retail")).alias("domain"),
+        F.max_by("speaker", idx).alias("intent"),
+        F.substring(F.min_by(F.when(customer, F.col("utterance")), F.when(customer, idx)), 1, 40).alias("reason_for_call"),
+        F.min_by(F.when(agent, F.col("utterance")), F.when(agent, idx)).alias("call_summary"),
+        F.max_by(F.when(agent, F.col("utterance")), F.when(agent, idx)).alias("outcome"),
+        ordered(turn).alias("turns"),
+        present(ordered(predefined)).alias("predefined_interaction_drivers"),
+        present(ordered(identified)).alias("identified_interaction_drivers"),
+    )
+    completed = F.struct(
+        F.lit("Filled").alias("domain"), F.col("intent"), F.col("call_summary").alias("reason_for_the_call")
+    )
+    return nested.select(
+        "transcript_id", "part", "domain", "intent", "reason_for_call", "turns",
+        F.struct(
+            completed.alias("completed_fields"), "call_summary", "outcome",
+            "predefined_interaction_drivers", "identified_interaction_drivers",
+            F.lit(None).cast("array<struct<dialogue_pair_index:bigint,intents:array<string>>>").alias("dialogue_pair_intents"),
+        ).alias("metadata"),
+    )
