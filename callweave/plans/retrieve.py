@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions import vectors as vx
+from ..operators.joins import bounded_broadcast
+from ..operators.mmr import mmr
+from ..operators.scan import positions, range_blocks
+from ..session import materialize
 
 
 def split_questions(questions: DataFrame, column: str = "question") -> DataFrame:
@@ -17,3 +22,74 @@ def split_questions(questions: DataFrame, column: str = "question") -> DataFrame
         .withColumn("depends_on", F.when(F.col("hop_id") > 1, F.col("hop_id") - 1))
         .drop("_at")
     )
+
+
+# MMR weight, and picks per level with and without a domain mask.
+MMR_LAMBDA = 0.7
+PICKS = {"default": (3, 4), "open": (5, 7), "masked": (6, 8)}
+
+
+def cluster_candidates(queries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Clusters of every query's field with their cosine to the query.
+
+    Clusters per field are few by construction (20 and 200), and they are joined on the
+    field, so the rows grow with the number of queries only.
+    """
+    side = bounded_broadcast(
+        clusters.select("field", F.col("id").alias("cluster_id"), "parent_id", "pos", vx.as_vector("embedding").alias("vector"))
+    )
+    asked = queries.select("query_id", "field", vx.unit(vx.as_vector("query_vector")).alias("query_vector"))
+    return asked.join(side, "field").withColumn("relevance", vx.cosine(F.col("query_vector"), F.col("vector")))
+
+
+def pick_clusters(
+    queries: DataFrame, l1: DataFrame, l2: DataFrame, k_l1: int = 3, k_l2: int = 4,
+    min_similarity: float | None = None, per_field: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """MMR over L1 clusters, then over the children of each picked one.
+
+    Returns ``(query_id, [field,] l1_id, l1_rank)`` and the picked L2 clusters with score.
+    Without ``per_field`` the L1 clusters of all the fields compete.
+    """
+    keys = ["query_id", "field"] if per_field else ["query_id"]
+    queries = materialize(queries.select("query_id", "field", "query_vector"), "questions")
+    heads = materialize(
+        cluster_candidates(queries, l1.withColumn("parent_id", F.lit(None).cast("string"))), "l1-candidates"
+    )
+    picked = mmr(heads.select(*keys, "pos", "vector", "relevance"), keys, k_l1, MMR_LAMBDA, low_ties=False)
+    chosen_l1 = materialize(
+        picked.join(heads.drop("vector", "query_vector", "relevance"), [*keys, "pos"]).select(
+            "query_id", "field", F.col("cluster_id").alias("l1_id"), F.col("pick").alias("l1_rank")), "picked-l1")
+    children = cluster_candidates(queries, l2).join(
+        bounded_broadcast(chosen_l1.withColumnRenamed("l1_id", "parent_id")), ["query_id", "field", "parent_id"]
+    )
+    if min_similarity is not None:
+        children = children.filter(F.col("relevance") >= min_similarity)
+    children = materialize(children, "l2-candidates")
+    inner = ["query_id", "parent_id"]
+    found = mmr(children.select(*inner, "pos", "vector", "relevance"), inner, k_l2, MMR_LAMBDA, low_ties=False)
+    chosen_l2 = found.join(children.drop("vector", "query_vector", "relevance"), [*inner, "pos"]).select(
+        "query_id", "field", F.col("cluster_id").alias("l2_id"), F.col("parent_id").alias("l1_id"),
+        "l1_rank", F.col("pick").alias("l2_rank"), F.col("relevance").alias("score"))
+    return chosen_l1, materialize(chosen_l2, "picked-l2")
+
+
+def cluster_documents(chosen_l2: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of the picked clusters, each once per query at its first place.
+
+    The place ``(l1_rank, l2_rank, position)`` orders a query's documents; it is the
+    smallest one, found map-side, so no query's documents meet in one task.
+    """
+    rows = members.select("field", "l2_id", "transcript_id", "position").join(
+        bounded_broadcast(chosen_l2.select("query_id", "field", "l2_id", "l1_rank", "l2_rank")), ["field", "l2_id"]
+    )
+    place = F.min(F.struct("l1_rank", "l2_rank", "position"))
+    return rows.groupBy("query_id", "transcript_id").agg(place.alias("place")).select(
+        "query_id", "transcript_id", "place.l1_rank", "place.l2_rank", "place.position"
+    )
+
+
+def document_ranks(documents: DataFrame) -> DataFrame:
+    """1-based place of every document in its query's order, for candidate sets of any size."""
+    order = ["query_id", "l1_rank", "l2_rank", "position", "transcript_id"]
+    return positions(range_blocks(documents, order), ["query_id"], [F.col(c) for c in order[1:]], name="doc_rank")

@@ -1,4 +1,4 @@
 """Imports every check module, which fills the registry."""
 
-from . import graph_checks, text_checks  # noqa: F401
+from . import cluster_checks, graph_checks, text_checks  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.functions import text as fx
+from callweave.functions import vectors as vx
+from callweave.operators import clusters
+
 from .registry import view
 
 
@@ -191,3 +195,88 @@ def calls_conv(spark, sf):
             F.lit(None).cast("array<struct<dialogue_pair_index:bigint,intents:array<string>>>").alias("dialogue_pair_intents"),
         ).alias("metadata"),
     )
+
+
+# --- clusters: labelled vectors as a two-level hierarchy over two fields -----------
+
+view("vec_members", """
+SELECT 'keywords' AS field, vec_id, label AS l1, label * 4 + vec_id % 4 AS l2, vec_id AS pos, embedding::DOUBLE[] AS v FROM embeddings
+UNION ALL
+SELECT 'reason_for_call', vec_id, label, label * 3 + vec_id % 3, vec_id, embedding::DOUBLE[] FROM embeddings""")
+view("l2_centroids", """
+SELECT field, l1, l2, list(x ORDER BY i) AS centroid FROM (
+  SELECT field, l1, l2, i, avg(x) AS x FROM (
+    SELECT field, l1, l2, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vec_members) GROUP BY ALL)
+GROUP BY 1, 2, 3""")
+view("l2_clusters_vec", """
+SELECT field, field || '_L2_' || l2 AS id, field || '_L1_' || l1 AS parent_id,
+       cast(l2 + CASE field WHEN 'keywords' THEN 0 ELSE 100000 END AS BIGINT) AS pos, l2 AS number,
+       list_transform(centroid, lambda x: x / sqrt(list_dot_product(centroid, centroid))) AS vec FROM l2_centroids""")
+view("l1_clusters_vec", """
+SELECT field, id, pos, child_count, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS vec FROM (
+  SELECT field, parent_id AS id, cast(min(pos) AS BIGINT) AS pos, any_value(c) AS child_count, list(x ORDER BY i) AS m
+  FROM (SELECT field, parent_id, i, avg(x) AS x, min(pos) AS pos, count(*) AS c FROM (
+        SELECT field, parent_id, pos, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS i FROM l2_clusters_vec)
+      GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+view("call_members", """
+SELECT m.field, m.field || '_L2_' || m.l2 AS l2_id, m.field || '_L1_' || m.l1 AS l1_id,
+       cast(o.o_orderkey AS VARCHAR) AS transcript_id, o.o_orderkey AS position
+FROM orders o JOIN vec_members m ON m.vec_id = o.o_orderkey % (SELECT count(*) FROM embeddings)""")
+view("label_vectors", """
+SELECT label AS query_id, list(x ORDER BY i) AS query_vector FROM (
+  SELECT label, i, avg(x) AS x FROM (
+    SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2)
+GROUP BY 1""")
+view("question_vectors", """
+SELECT t.p_type AS query_id, query_vector FROM (
+  SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS n FROM (SELECT DISTINCT p_type FROM part)) t
+JOIN label_vectors l ON l.query_id = t.n""")
+
+
+def vec_members(spark, sf):
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("label").alias("l1"), F.col("vec_id").alias("pos"),
+        F.col("embedding").cast("array<double>").alias("vector"))
+    fields = F.explode(F.array(
+        F.struct(F.lit("keywords").alias("field"), (F.col("l1") * 4 + F.col("vec_id") % 4).alias("l2")),
+        F.struct(F.lit("reason_for_call").alias("field"), (F.col("l1") * 3 + F.col("vec_id") % 3).alias("l2"))))
+    return rows.select("*", fields.alias("f")).select("f.field", "vec_id", "l1", "f.l2", "pos", "vector")
+
+
+def l2_clusters_vec(spark, sf):
+    means = clusters.centroids(vec_members(spark, sf), ["field", "l1", "l2"])
+    return means.select(
+        "field", fx.cluster_id(F.col("field"), "L2", F.col("l2")).alias("id"),
+        fx.cluster_id(F.col("field"), "L1", F.col("l1")).alias("parent_id"),
+        (F.col("l2") + F.when(F.col("field") == "keywords", 0).otherwise(100000)).cast("long").alias("pos"),
+        F.col("l2").alias("number"), vx.unit(F.col("centroid")).alias("embedding"), "size")
+
+
+def l1_clusters_vec(l2):
+    return l2.groupBy("field", F.col("parent_id").alias("id")).agg(
+        F.min("pos").alias("pos"), F.count("*").alias("child_count"),
+        vx.mean_vector("embedding").alias("centroid"),
+    ).select("field", "id", "pos", "child_count", vx.unit(F.col("centroid")).alias("embedding"))
+
+
+def call_members(spark, sf):
+    vectors = table(spark, sf, "embeddings").count()
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("transcript_id"), F.col("o_orderkey").alias("position"),
+        (F.col("o_orderkey") % vectors).alias("vec_id"))
+    rows = vec_members(spark, sf).select(
+        "field", "vec_id", fx.cluster_id(F.col("field"), "L2", F.col("l2")).alias("l2_id"),
+        fx.cluster_id(F.col("field"), "L1", F.col("l1")).alias("l1_id"))
+    return orders.join(rows, "vec_id").select("field", "l2_id", "l1_id", "transcript_id", "position")
+
+
+def label_vectors(spark, sf):
+    rows = table(spark, sf, "embeddings").select("label", F.col("embedding").alias("vector"))
+    return rows.groupBy(F.col("label").alias("query_id")).agg(vx.mean_vector("vector").alias("query_vector"))
+
+
+def question_vectors(spark, sf):
+    types = table(spark, sf, "part").agg(F.array_sort(F.collect_set("p_type")).alias("v")).select(
+        F.posexplode("v").alias("n", "p_type"))
+    return types.join(label_vectors(spark, sf), F.col("n") == F.col("query_id")).select(
+        F.col("p_type").alias("query_id"), "query_vector")
