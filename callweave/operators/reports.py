@@ -88,3 +88,24 @@ def sentiment_trend(turns: DataFrame, retrieved: DataFrame, top: int = 10) -> Da
     """Mean score per turn over the top retrieved calls; ended calls drop out."""
     return sentiment_curves(turns, retrieved, top).groupBy("query_id", "turn").agg(
         F.avg("score").alias("mean_score"), F.count("*").alias("calls"))
+
+
+def report_tables(
+    hits: DataFrame, retrieved: DataFrame, drivers: DataFrame, l2: DataFrame, members: DataFrame
+) -> DataFrame:
+    """The reports of a set of questions as one table ``(query_id, report, key, value)``.
+
+    Driver reports exist for questions with drivers, cluster reports for questions with
+    retrieved calls; the joins see to both.
+    """
+    hit = clusters_hit(members, retrieved).select("query_id", "l2_id")
+    long = lambda df, report, key, value: df.select(
+        "query_id", F.lit(report).alias("report"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")
+    )
+    asked = drivers.join(bounded_broadcast(retrieved.select("query_id").distinct()), "query_id", "left_semi")
+    return (
+        long(driver_call_counts(hits, retrieved, asked), "driver_calls", "driver", "calls")
+        .unionByName(long(driver_frequency(hits, retrieved, asked), "driver_frequency", "driver", "total"))
+        .unionByName(long(cluster_breakdown(l2, hit), "cluster_end", "l2_id", "child_end"))
+        .unionByName(long(bubble_sizes(l2, hit), "bubble_radius", "l2_id", "radius"))
+    )

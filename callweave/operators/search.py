@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..functions.text import words
+from ..session import materialize
 from .joins import bounded_broadcast, top_k
 
 #: Query-matrix cells that a task receives at once.
@@ -65,61 +66,76 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold:
 # --- keyword search ----------------------------------------------------------------
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """Term counts ``(doc_id, length, term, tf)`` of whole texts.
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Term counts ``(doc_id, length, term, tf)`` of whole texts, one row per document in.
 
-    Terms of one document are counted where the document was read; only counted terms
-    move.
+    Terms are counted where the document was read, so only counted terms move; with
+    ``terms`` everything else is dropped before that.
     """
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
-    return (
-        tokens.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens")).select(
+        "doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")
     )
+    if terms is not None:
+        tokens = tokens.join(bounded_broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return tokens.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 of every document that shares a term with a query.
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
 
-    Documents are narrowed to the queries' vocabulary with a broadcast lookup before
-    anything is shuffled.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    vocabulary = bounded_broadcast(asked.select("term").distinct())
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
-    sizes = tokens.select(F.size("tokens").alias("length")).agg(
-        F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")
-    ).first()
-    n_docs, mean_length = sizes["n_docs"] or 0, sizes["mean_length"] or 1.0
-    counted = (
-        tokens.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    )
+
+def score_postings(counted: DataFrame, asked: DataFrame, n_docs: int, mean_length: float, k1: float, b: float) -> DataFrame:
+    """BM25 sums ``(query_id, doc_id, score)`` from term counts."""
     weighted = counted.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    terms = asked.join(weighted, "term")
     saturation = (F.col("tf") * (k1 + 1)) / (
         F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean_length)))
     )
     return (
-        counted.join(bounded_broadcast(terms), "term")
+        counted.join(bounded_broadcast(asked.join(weighted, "term")), "term")
         .groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * saturation).alias("score"))
     )
 
 
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 of every document that shares a term with a query.
+
+    Documents are narrowed to the queries' vocabulary by a size-checked broadcast before
+    anything is shuffled, and only the counts of those terms are.
+    """
+    asked = query_terms(queries)
+    sizes = docs.agg(
+        F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("mean")
+    ).first()
+    return score_postings(postings(docs, asked), asked, sizes["n"] or 0, sizes["mean"] or 1.0, k1, b)
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     scores = bm25_scores(docs, queries).withColumn("score", F.round("score", 9))
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def pair_bm25(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 only for given ``(query_id, doc_id)`` pairs, 0 where they share no term."""
-    mine = docs.join(bounded_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    return pairs.join(bm25_scores(mine, queries), ["query_id", "doc_id"], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
+def pair_bm25(
+    pairs: DataFrame, utterances: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
+) -> DataFrame:
+    """BM25 of given ``(query_id, doc_id)`` pairs, 0 where they share no term.
+
+    ``utterances`` are the text rows of the documents, any number per document; only
+    those of paired documents are read on, and they form the corpus of the statistics.
+    """
+    asked = query_terms(queries)
+    wanted = bounded_broadcast(pairs.select("doc_id").distinct())
+    terms = (
+        utterances.join(wanted, "doc_id", "left_semi")
+        .select("doc_id", F.explode(words(F.col("text"))).alias("term"))
+        .groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     )
+    lengths = materialize(terms.groupBy("doc_id").agg(F.sum("tf").alias("length")), "lengths")
+    sizes = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    counted = terms.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi").join(lengths, "doc_id")
+    scores = score_postings(counted, asked, sizes["n"] or 0, sizes["mean"] or 1.0, k1, b)
+    return pairs.join(scores, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 # --- rerank and fusion -------------------------------------------------------------

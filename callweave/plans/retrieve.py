@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import vectors as vx
+from ..operators.graph import driver_overlap
 from ..operators.joins import bounded_broadcast
 from ..operators.mmr import mmr
+from ..operators.ppr import ppr_scores, ppr_top
 from ..operators.scan import positions, range_blocks
+from ..operators.search import pair_bm25, rerank
 from ..session import materialize
 
 
@@ -93,3 +96,89 @@ def document_ranks(documents: DataFrame) -> DataFrame:
     """1-based place of every document in its query's order, for candidate sets of any size."""
     order = ["query_id", "l1_rank", "l2_rank", "position", "transcript_id"]
     return positions(range_blocks(documents, order), ["query_id"], [F.col(c) for c in order[1:]], name="doc_rank")
+
+
+def prune_by_clusters(
+    queries: DataFrame, masked: DataFrame, l1: DataFrame, l2: DataFrame, members: DataFrame, fields: list[str]
+) -> DataFrame:
+    """Allow-list ``(query_id, transcript_id)`` from the clusters nearest to each question.
+
+    Questions with a domain mask look into more clusters than open ones.
+    """
+    spread = queries.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
+    with_mask = bounded_broadcast(masked.select("query_id").distinct())
+    out = None
+    for kind, how in (("masked", "left_semi"), ("open", "left_anti")):
+        group = spread.join(with_mask, "query_id", how)
+        _, chosen = pick_clusters(group, l1, l2, *PICKS[kind], per_field=False)
+        docs = cluster_documents(chosen, members).select("query_id", "transcript_id")
+        out = docs if out is None else out.unionByName(docs)
+    return out
+
+
+def graph_retrieve(adjacency: DataFrame, questions: DataFrame, pruned: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """Ranked calls of a table of questions.
+
+    Overlap under both masks, PageRank of the candidates, the first ``k`` calls per
+    question and their attributes; the number of candidates is a column of every row.
+    """
+    candidates = materialize(driver_overlap(adjacency, questions, pruned), "candidates")
+    counts = bounded_broadcast(candidates.groupBy("query_id").agg(F.count("*").alias("retrieved_count")))
+    ranked = ppr_top(ppr_scores(candidates), k)
+    return attach_calls(ranked, adjacency).join(counts, "query_id").select(
+        "query_id", "rank", "transcript_id", F.round("ppr_score", 6).alias("ppr_score"),
+        "domain", "call_intent", "drivers", F.col("overlap").alias("driver_overlap"), "retrieved_count",
+    )
+
+
+def attach_calls(ranked: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Attributes of the ranked calls; the ranked side is the small one."""
+    calls = adjacency.select(
+        "transcript_id", F.get("domains", F.lit(0)).alias("domain"), F.get("reasons", F.lit(0)).alias("call_intent"), "drivers"
+    )
+    return calls.join(bounded_broadcast(ranked), "transcript_id")
+
+
+def rerank_by_text(retrieved: DataFrame, utterances: DataFrame, queries: DataFrame, final_k: int = 10) -> DataFrame:
+    """Second-stage order of retrieved calls by the text they share with the question.
+
+    Calls without any text are dropped first.
+    """
+    pairs = retrieved.select("query_id", F.col("transcript_id").alias("doc_id"), "rank")
+    spoken = utterances.select(F.col("transcript_id").alias("doc_id"), F.col("utterance").alias("text")).filter("text <> ''")
+    heard = spoken.join(bounded_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id").distinct()
+    scored = pair_bm25(pairs.join(heard, "doc_id", "left_semi"), spoken, queries)
+    best = rerank(
+        scored.withColumn("score", F.round("score", 9)).withColumn("preview", F.lit("text")), final_k
+    )
+    return best.select("query_id", F.col("doc_id").alias("transcript_id"), "score", "final_rank")
+
+
+def hop_union(hops: DataFrame) -> DataFrame:
+    """Distinct calls and drivers over the hops of a request; both come from top-k lists."""
+    return hops.groupBy("request_id").agg(
+        F.array_sort(F.collect_set("transcript_id")).alias("transcript_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("drivers")))).alias("query_drivers"),
+        F.countDistinct("hop_id").alias("hops"),
+    )
+
+
+def answer_context(retrieved: DataFrame, questions: DataFrame, columns: list[str]) -> DataFrame:
+    """Prompt text per question: its ranked rows as JSON, then the question."""
+    rows = F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("row")))), lambda s: s["row"]
+    )
+    found = retrieved.groupBy("query_id").agg(F.to_json(rows).alias("evidence"))
+    return questions.join(found, "query_id", "left").select(
+        "query_id", F.concat(F.coalesce("evidence", F.lit("[]")), F.lit("\n> *User Question:* "), "text").alias("prompt")
+    )
+
+
+def hop_transcript(hops: DataFrame) -> DataFrame:
+    """``Q1/A1 ... Qn/An`` of a request's hops in their order."""
+    hop = F.col("hop_id").cast("string")
+    entry = F.concat(F.lit("\nQ"), hop, F.lit(": "), "sub_query", F.lit("\nA"), hop, F.lit(": "), "answer", F.lit("\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("hop_id", entry.alias("entry"))))
+    return hops.groupBy("request_id").agg(
+        F.array_join(F.transform(ordered, lambda s: s["entry"]), "").alias("steps")
+    )

@@ -30,26 +30,23 @@ def candidates_star(spark, sf, pruned=None):
     return graph.driver_overlap(adjacency_star(spark, sf), questions_star(spark, sf), pruned)
 
 
-def ppr_ctes(candidates: str, prefix: str = "", steps: int = 60) -> list[tuple[str, str]]:
+def ppr_ctes(candidates: str, prefix: str = "", steps: int = 60, edges: str = "call_edges") -> list[tuple[str, str]]:
     """Power iteration over the raw edges, one CTE per step, with the library stop rule."""
     p = prefix
     ctes = [
         (f"{p}cand", f"SELECT * FROM {candidates}"),
         (f"{p}half", f"""SELECT c.query_id, 'Transcript:' || e.transcript_id AS src, {EDGE_TYPE} || ':' || e.target AS dst
-                      FROM {p}cand c JOIN call_edges e USING (transcript_id)"""),
+                      FROM {p}cand c JOIN {edges} e USING (transcript_id)"""),
         (f"{p}edge", f"SELECT query_id, src, dst FROM {p}half UNION ALL SELECT query_id, dst, src FROM {p}half"),
         (f"{p}best", f"SELECT query_id, max(overlap) AS best FROM {p}cand GROUP BY 1"),
         (f"{p}seed", f"""SELECT query_id, 'Transcript:' || transcript_id AS node,
                       1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS p
                       FROM {p}cand JOIN {p}best USING (query_id) WHERE overlap = best"""),
-        (f"{p}node", f"""SELECT query_id, src AS node, count(*)::DOUBLE AS deg,
-                      (count(*) OVER (PARTITION BY query_id))::DOUBLE AS n, coalesce(max(p), 0.0) AS p
-                      FROM {p}edge e LEFT JOIN {p}seed s USING (query_id) WHERE 1 = 0 GROUP BY 1, 2"""),
     ]
-    ctes[-1] = (f"{p}node", f"""SELECT d.query_id, d.node, d.deg, (count(*) OVER (PARTITION BY d.query_id))::DOUBLE AS n,
+    ctes.append((f"{p}node", f"""SELECT d.query_id, d.node, d.deg, (count(*) OVER (PARTITION BY d.query_id))::DOUBLE AS n,
                       coalesce(s.p, 0.0) AS p
                       FROM (SELECT query_id, src AS node, count(*)::DOUBLE AS deg FROM {p}edge GROUP BY 1, 2) d
-                      LEFT JOIN {p}seed s ON s.query_id = d.query_id AND s.node = d.node""")
+                      LEFT JOIN {p}seed s ON s.query_id = d.query_id AND s.node = d.node"""))
     ctes.append((f"{p}r0", f"SELECT query_id, node, deg, n, p, 1.0 / n AS r, 0.0::DOUBLE AS last FROM {p}node"))
     for k in range(1, steps + 1):
         ctes.append((f"{p}r{k}", f"""
