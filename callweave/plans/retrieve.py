@@ -144,7 +144,7 @@ def rerank_by_text(retrieved: DataFrame, utterances: DataFrame, queries: DataFra
 
     Calls without any text are dropped first.
     """
-    pairs = retrieved.select("query_id", F.col("transcript_id").alias("doc_id"), "rank")
+    pairs = materialize(retrieved.select("query_id", F.col("transcript_id").alias("doc_id"), "rank"), "retrieved")
     spoken = utterances.select(F.col("transcript_id").alias("doc_id"), F.col("utterance").alias("text")).filter("text <> ''")
     heard = spoken.join(bounded_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id").distinct()
     scored = pair_bm25(pairs.join(heard, "doc_id", "left_semi"), spoken, queries)

@@ -1,4 +1,4 @@
 """Imports every check module, which fills the registry."""
 
-from . import cluster_checks, graph_checks, retrieve_checks, text_checks  # noqa: F401
-from .registry import ORACLE, QUERIES  # noqa: F401
+from . import chat_checks, cluster_checks, eval_checks, graph_checks, retrieve_checks, stream_checks, text_checks  # noqa: F401
+from .registry import QUERIES, oracle  # noqa: F401

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, tuple[str, list]] = {}
 #: SQL twins of the adapters, by view name.
 VIEWS: dict[str, str] = {}
 
@@ -42,7 +42,12 @@ def check(name: str, sql: str | None = None, extra: list[tuple[str, str]] | None
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql, extra)
+            _SQL[name] = (sql, extra or [])
         return fn
 
     return register
+
+
+def oracle() -> dict[str, str]:
+    """The SQL twins, complete with the views they use."""
+    return {name: with_views(sql, extra) for name, (sql, extra) in _SQL.items()}
