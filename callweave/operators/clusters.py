@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import vectors as vx
-from .joins import bounded_broadcast, top_k
+from ..session import materialize
+from .joins import bounded_broadcast, spread, top_k
 from .mmr import mmr
 
 # Cluster numbers, representative picks and view weights.
@@ -95,17 +96,18 @@ def distinguishing_terms(texts: DataFrame, k: int = 3) -> DataFrame:
     Terms are counted per cluster where the texts were read, so a cluster's size shows
     only in the counts.
     """
-    counted = (
-        texts.select("cluster", F.explode(fx.words(F.col("text"))).alias("term"))
-        .groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    counted = materialize(
+        spread(texts.select("cluster", "text")).select("cluster", F.explode(fx.words(F.col("text"))).alias("term"))
+        .groupBy("cluster", "term").agg(F.count("*").alias("tf")),
+        "cluster-terms",
     )
     sizes = counted.groupBy("cluster").agg(F.sum("tf").alias("words"))
     overall = counted.groupBy("term").agg(F.sum("tf").alias("everywhere"))
     mean_words = sizes.agg(F.avg("words")).first()[0] or 0.0
     scored = counted.join(overall, "term").join(bounded_broadcast(sizes), "cluster").withColumn(
-        "score", F.round(F.col("tf") / F.col("words") * F.log(1 + F.lit(float(mean_words)) / F.col("everywhere")), 9)
+        "score", F.col("tf") / F.col("words") * F.log(1 + F.lit(float(mean_words)) / F.col("everywhere"))
     )
-    return top_k(scored, ["cluster"], [F.desc("score"), F.asc("term")], k).select("cluster", "term", "score", "rank")
+    return top_k(scored, ["cluster"], [F.desc(F.round("score", 9)), F.asc("term")], k).select("cluster", "term", "score", "rank")
 
 
 def names_from_terms(terms: DataFrame) -> DataFrame:

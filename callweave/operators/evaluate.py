@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions import vectors as vx
 from ..functions.overlap import lcs_length, union_lcs_hits
+from .joins import spread
 
 # Similarity from which a call counts as found, and the one of the sample run.
 MATCH_THRESHOLD, SAMPLE_THRESHOLD = 0.7, 0.25
@@ -129,7 +130,7 @@ def gram_overlap(pairs: DataFrame, orders: int, tokens) -> DataFrame:
 
     Both texts are exploded together and counted per n-gram map-side.
     """
-    tokenised = pairs.select("query_idx", tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
+    tokenised = spread(pairs).select("query_idx", tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
     grams = F.flatten(F.array(*[
         _tagged(_grams(F.col(side), n), n, side)
         for n in range(1, orders + 1) for side in ("c", "r")
@@ -188,7 +189,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     """ROUGE-L over whole texts and ROUGE-Lsum over their lines."""
     lines = lambda c: F.filter(
         F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), rouge_tokens), lambda t: F.size(t) > 0)
-    tokens = pairs.select(
+    tokens = spread(pairs).select(
         "query_idx", rouge_tokens(F.col("candidate")).alias("c"), rouge_tokens(F.col("reference")).alias("r"),
         lines("candidate").alias("cl"), lines("reference").alias("rl"))
     measured = tokens.select(

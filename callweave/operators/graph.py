@@ -29,37 +29,18 @@ def graph_records(calls: DataFrame) -> DataFrame:
 
 
 def adjacency(records: DataFrame) -> DataFrame:
-    """One row per call with its distinct neighbours.
-
-    Sets hold graph labels, whose number the taxonomy bounds, and they merge map-side,
-    so repeated or hot calls shrink before the shuffle.
-    """
-    one = lambda c: F.array(F.col(c))
-    return _merge(
-        records.select(
-            "transcript_id", one("domain").alias("domains"), one("reason").alias("reasons"), "drivers"
-        )
-    )
-
-
-def _merge(rows: DataFrame) -> DataFrame:
-    exploded = rows.select(
-        "transcript_id",
-        F.explode(
-            F.concat(
-                F.transform("domains", lambda v: F.struct(F.lit("IN_DOMAIN").alias("edge"), v.alias("target"))),
-                F.transform("reasons", lambda v: F.struct(F.lit("HAS_REASON").alias("edge"), v.alias("target"))),
-                F.transform("drivers", lambda v: F.struct(F.lit("HAS_DRIVER").alias("edge"), v.alias("target"))),
-            )
-        ).alias("link"),
-    )
-    return adjacency_of_edges(exploded.select("transcript_id", "link.edge", "link.target"))
+    """One row per call with its distinct neighbours, from nested records."""
+    return adjacency_of_edges(record_edges(records))
 
 
 def adjacency_of_edges(edges: DataFrame) -> DataFrame:
-    """Adjacency rows ``(transcript_id, domains, reasons, drivers)`` from edge rows."""
+    """Adjacency rows ``(transcript_id, domains, reasons, drivers)`` from distinct edge rows.
+
+    Repeats are gone before lists are built, so a list holds graph labels, whose number
+    the taxonomy bounds, however often a call or driver occurs.
+    """
     pick = lambda edge: F.array_sort(
-        F.collect_set(F.when(F.col("edge") == edge, F.col("target")))
+        F.collect_list(F.when(F.col("edge") == edge, F.col("target")))
     )
     return edges.groupBy("transcript_id").agg(
         pick("IN_DOMAIN").alias("domains"),
@@ -68,8 +49,8 @@ def adjacency_of_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def record_edges(records: DataFrame) -> DataFrame:
-    """Distinct edges of nested records, from one scan of them."""
+def record_links(records: DataFrame) -> DataFrame:
+    """Edges of nested records, repeats included, from one scan of them."""
     link = lambda edge, value: F.struct(F.lit(edge).alias("edge"), value.alias("target"))
     return records.select(
         "transcript_id",
@@ -79,11 +60,16 @@ def record_edges(records: DataFrame) -> DataFrame:
                 F.transform("drivers", lambda d: link("HAS_DRIVER", d)),
             )
         ),
-    ).distinct()
+    )
 
 
-def table_edges(calls: DataFrame, hits: DataFrame) -> DataFrame:
-    """Distinct edges of a calls table and its exploded driver hits."""
+def record_edges(records: DataFrame) -> DataFrame:
+    """Distinct edges of nested records."""
+    return record_links(records).distinct()
+
+
+def table_links(calls: DataFrame, hits: DataFrame) -> DataFrame:
+    """Edges of a calls table and its exploded driver hits, repeats included."""
     heads = calls.select(
         "transcript_id",
         F.inline(
@@ -96,7 +82,12 @@ def table_edges(calls: DataFrame, hits: DataFrame) -> DataFrame:
     drivers = hits.filter(F.col("driver").isNotNull()).select(
         "transcript_id", F.lit("HAS_DRIVER").alias("edge"), F.col("driver").alias("target")
     )
-    return heads.unionByName(drivers).distinct()
+    return heads.unionByName(drivers)
+
+
+def table_edges(calls: DataFrame, hits: DataFrame) -> DataFrame:
+    """Distinct edges of a calls table and its exploded driver hits."""
+    return table_links(calls, hits).distinct()
 
 
 def target_type(edge="edge"):
@@ -196,6 +187,13 @@ def driver_overlap(adjacency_rows: DataFrame, questions: DataFrame, pruned: Data
     )
 
 
+def neighbours_of(target: str):
+    """Names of one target type among a candidate's neighbours."""
+    prefix = f"{target}:"
+    mine = F.filter("neighbours", lambda n: n.startswith(prefix))
+    return F.transform(mine, lambda n: n.substr(F.lit(len(prefix) + 1), F.length(n)))
+
+
 def seeds(candidates: DataFrame) -> DataFrame:
     """All candidates at their question's highest overlap."""
     best = candidates.groupBy("query_id").agg(F.max("overlap").alias("overlap"))

@@ -26,3 +26,13 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise work on an input that arrives in too few partitions.
+
+    Input that already has at least one partition per core is left alone, so a large
+    table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -145,15 +145,11 @@ def _solved(weights: DataFrame, calls: DataFrame, alpha: float, max_iter: int, t
         .groupBy("query_id").agg(F.min("at").alias("stop"))
     )
     last = F.size("share") - 1
-    return history.join(F.broadcast(stops) if _small(history) else stops, "query_id", "left").select(
+    return history.join(stops, "query_id", "left").select(
         "query_id", "label", F.get("share", F.coalesce("stop", last)).alias("share")
     )
 
 
-def _small(history: DataFrame) -> bool:
-    return history.select("query_id").distinct().limit(10_001).count() <= 10_000
-
-
 def _iterated(calls: DataFrame, alpha: float, max_iter: int, tol: float) -> DataFrame:
     """The same label shares by joins, for label matrices beyond one task.
 
@@ -227,12 +223,24 @@ def _iterated(calls: DataFrame, alpha: float, max_iter: int, tol: float) -> Data
     return state.select("query_id", "label", (shown / F.col("degree")).alias("share"))
 
 
+def stored_candidates(candidates: DataFrame) -> DataFrame:
+    shared_dir(candidates.sparkSession)
+    return candidates.checkpoint()
+
+
 def ppr_scores(
-    candidates: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, method: str = "auto"
+    candidates: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, method: str = "auto",
+    stored: bool = False,
 ) -> DataFrame:
-    """``(query_id, transcript_id, overlap, ppr_score)`` for every candidate."""
-    shared_dir(candidates.sparkSession)
-    calls = _prepared(candidates.select("query_id", "transcript_id", "overlap", "neighbours").checkpoint())
+    """``(query_id, transcript_id, overlap, ppr_score)`` for every candidate.
+
+    The candidates are read several times; unless they are ``stored`` already they are
+    checkpointed, which keeps their partitioning by question and call, so that the
+    passes over them need no further shuffle of the calls.
+    """
+    if not stored:
+        candidates = stored_candidates(candidates)
+    calls = _prepared(candidates.select("query_id", "transcript_id", "overlap", "neighbours"))
     if method == "auto":
         labels = calls.select("query_id", F.explode("neighbours").alias("a")).distinct()
         widest = labels.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
@@ -241,6 +249,7 @@ def ppr_scores(
         shares = _solved(_label_weights(calls), calls, alpha, max_iter, tol)
     else:
         shares = _iterated(calls, alpha, max_iter, tol)
+    shares = materialize(shares, "ppr-shares")
     return (
         calls.select(
             "query_id", "transcript_id", "overlap", "restart", F.explode("neighbours").alias("label")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..functions.text import words
 from ..session import materialize
-from .joins import bounded_broadcast, top_k
+from .joins import bounded_broadcast, spread, top_k
 
 #: Query-matrix cells that a task receives at once.
 QUERY_CELL_LIMIT = 4_000_000
@@ -102,18 +102,20 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     """BM25 of every document that shares a term with a query.
 
     Documents are narrowed to the queries' vocabulary by a size-checked broadcast before
-    anything is shuffled, and only the counts of those terms are.
+    anything is shuffled.  Their term counts are written once, as the index that the
+    document frequencies and the scores are both read from.
     """
     asked = query_terms(queries)
+    docs = spread(docs.select("doc_id", "text"))
     sizes = docs.agg(
-        F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("mean")
+        F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"\p{L}+"))).alias("mean")
     ).first()
-    return score_postings(postings(docs, asked), asked, sizes["n"] or 0, sizes["mean"] or 1.0, k1, b)
+    counted = materialize(postings(docs, asked), "postings")
+    return score_postings(counted, asked, sizes["n"] or 0, sizes["mean"] or 1.0, k1, b)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    scores = bm25_scores(docs, queries).withColumn("score", F.round("score", 9))
-    return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return top_k(bm25_scores(docs, queries), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
 
 
 def pair_bm25(
@@ -126,10 +128,11 @@ def pair_bm25(
     """
     asked = query_terms(queries)
     wanted = bounded_broadcast(pairs.select("doc_id").distinct())
-    terms = (
+    terms = materialize(
         utterances.join(wanted, "doc_id", "left_semi")
         .select("doc_id", F.explode(words(F.col("text"))).alias("term"))
-        .groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        .groupBy("doc_id", "term").agg(F.count("*").alias("tf")),
+        "postings",
     )
     lengths = materialize(terms.groupBy("doc_id").agg(F.sum("tf").alias("length")), "lengths")
     sizes = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
@@ -148,7 +151,7 @@ def rerank(retrieved: DataFrame, final_k: int = 5, text: str = "preview", score:
     their order.
     """
     kept = retrieved.filter(F.coalesce(F.col(text), F.lit("")) != "")
-    order = [F.asc("rank")] if score is None else [F.desc(score), F.asc("rank")]
+    order = [F.asc("rank")] if score is None else [F.desc(F.round(score, 9)), F.asc("rank")]
     return top_k(kept, ["query_id"], order, final_k, "final_rank")
 
 
@@ -168,7 +171,7 @@ def nearest_text_vectors(docs: DataFrame, dimensions: int = 256) -> DataFrame:
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = docs.select("item_id", words(F.col("text")).alias("tokens"))
+    tokens = spread(docs.select("item_id", "text")).select("item_id", words(F.col("text")).alias("tokens"))
     stages = [
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimensions),
         IDF(inputCol="tf", outputCol="weighted"),

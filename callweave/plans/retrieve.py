@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import vectors as vx
-from ..operators.graph import driver_overlap
+from ..operators.graph import driver_overlap, neighbours_of
 from ..operators.joins import bounded_broadcast
 from ..operators.mmr import mmr
-from ..operators.ppr import ppr_scores, ppr_top
+from ..operators.ppr import ppr_scores, ppr_top, stored_candidates
 from ..operators.scan import positions, range_blocks
 from ..operators.search import pair_bm25, rerank
 from ..session import materialize
@@ -47,19 +47,25 @@ def cluster_candidates(queries: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def pick_clusters(
     queries: DataFrame, l1: DataFrame, l2: DataFrame, k_l1: int = 3, k_l2: int = 4,
-    min_similarity: float | None = None, per_field: bool = True,
+    min_similarity: float | None = None, per_field: bool = True, limits: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """MMR over L1 clusters, then over the children of each picked one.
 
     Returns ``(query_id, [field,] l1_id, l1_rank)`` and the picked L2 clusters with score.
-    Without ``per_field`` the L1 clusters of all the fields compete.
+    Without ``per_field`` the L1 clusters of all the fields compete.  ``limits`` holds
+    smaller numbers of picks ``(query_id, n_l1, n_l2)`` for some questions; greedy picks
+    of a smaller number are the first of a larger one.
     """
+    capped = lambda rows, column, limit: rows if limits is None else rows.join(
+        bounded_broadcast(limits.select("query_id", limit)), "query_id", "left"
+    ).filter(F.col(limit).isNull() | (F.col(column) <= F.col(limit))).drop(limit)
     keys = ["query_id", "field"] if per_field else ["query_id"]
     queries = materialize(queries.select("query_id", "field", "query_vector"), "questions")
     heads = materialize(
         cluster_candidates(queries, l1.withColumn("parent_id", F.lit(None).cast("string"))), "l1-candidates"
     )
-    picked = mmr(heads.select(*keys, "pos", "vector", "relevance"), keys, k_l1, MMR_LAMBDA, low_ties=False)
+    picked = capped(
+        mmr(heads.select(*keys, "pos", "vector", "relevance"), keys, k_l1, MMR_LAMBDA, low_ties=False), "pick", "n_l1")
     chosen_l1 = materialize(
         picked.join(heads.drop("vector", "query_vector", "relevance"), [*keys, "pos"]).select(
             "query_id", "field", F.col("cluster_id").alias("l1_id"), F.col("pick").alias("l1_rank")), "picked-l1")
@@ -70,7 +76,8 @@ def pick_clusters(
         children = children.filter(F.col("relevance") >= min_similarity)
     children = materialize(children, "l2-candidates")
     inner = ["query_id", "parent_id"]
-    found = mmr(children.select(*inner, "pos", "vector", "relevance"), inner, k_l2, MMR_LAMBDA, low_ties=False)
+    found = capped(
+        mmr(children.select(*inner, "pos", "vector", "relevance"), inner, k_l2, MMR_LAMBDA, low_ties=False), "pick", "n_l2")
     chosen_l2 = found.join(children.drop("vector", "query_vector", "relevance"), [*inner, "pos"]).select(
         "query_id", "field", F.col("cluster_id").alias("l2_id"), F.col("parent_id").alias("l1_id"),
         "l1_rank", F.col("pick").alias("l2_rank"), F.col("relevance").alias("score"))
@@ -106,36 +113,36 @@ def prune_by_clusters(
     Questions with a domain mask look into more clusters than open ones.
     """
     spread = queries.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
-    with_mask = bounded_broadcast(masked.select("query_id").distinct())
-    out = None
-    for kind, how in (("masked", "left_semi"), ("open", "left_anti")):
-        group = spread.join(with_mask, "query_id", how)
-        _, chosen = pick_clusters(group, l1, l2, *PICKS[kind], per_field=False)
-        docs = cluster_documents(chosen, members).select("query_id", "transcript_id")
-        out = docs if out is None else out.unionByName(docs)
-    return out
+    with_mask = masked.select("query_id").distinct()
+    (open_l1, open_l2), (most_l1, most_l2) = PICKS["open"], PICKS["masked"]
+    limits = materialize(
+        queries.select("query_id").join(with_mask, "query_id", "left_anti").select(
+            "query_id", F.lit(open_l1).alias("n_l1"), F.lit(open_l2).alias("n_l2")), "limits")
+    _, chosen = pick_clusters(spread, l1, l2, most_l1, most_l2, per_field=False, limits=limits)
+    return cluster_documents(chosen, members).select("query_id", "transcript_id")
 
 
 def graph_retrieve(adjacency: DataFrame, questions: DataFrame, pruned: DataFrame | None = None, k: int = 20) -> DataFrame:
     """Ranked calls of a table of questions.
 
     Overlap under both masks, PageRank of the candidates, the first ``k`` calls per
-    question and their attributes; the number of candidates is a column of every row.
+    question.  Candidates carry their neighbours, so the ranked calls' attributes need no
+    second look at the call table; the number of candidates is a column of every row.
     """
-    candidates = materialize(driver_overlap(adjacency, questions, pruned), "candidates")
+    candidates = stored_candidates(driver_overlap(adjacency, questions, pruned))
     counts = bounded_broadcast(candidates.groupBy("query_id").agg(F.count("*").alias("retrieved_count")))
-    ranked = ppr_top(ppr_scores(candidates), k)
-    return attach_calls(ranked, adjacency).join(counts, "query_id").select(
+    ranked = bounded_broadcast(ppr_top(ppr_scores(candidates, stored=True), k).drop("overlap"))
+    return candidates.join(ranked, ["query_id", "transcript_id"]).join(counts, "query_id").select(
         "query_id", "rank", "transcript_id", F.round("ppr_score", 6).alias("ppr_score"),
-        "domain", "call_intent", "drivers", F.col("overlap").alias("driver_overlap"), "retrieved_count",
+        F.get(neighbours_of("Domain"), F.lit(0)).alias("domain"),
+        F.get(neighbours_of("CallReason"), F.lit(0)).alias("call_intent"),
+        neighbours_of("InteractionDriver").alias("drivers"),
+        F.col("overlap").alias("driver_overlap"), "retrieved_count",
     )
 
 
-def attach_calls(ranked: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Attributes of the ranked calls; the ranked side is the small one."""
-    calls = adjacency.select(
-        "transcript_id", F.get("domains", F.lit(0)).alias("domain"), F.get("reasons", F.lit(0)).alias("call_intent"), "drivers"
-    )
+def attach_calls(ranked: DataFrame, calls: DataFrame) -> DataFrame:
+    """Columns of the ranked calls from any call table; the ranked side is the small one."""
     return calls.join(bounded_broadcast(ranked), "transcript_id")
 
 
@@ -148,9 +155,7 @@ def rerank_by_text(retrieved: DataFrame, utterances: DataFrame, queries: DataFra
     spoken = utterances.select(F.col("transcript_id").alias("doc_id"), F.col("utterance").alias("text")).filter("text <> ''")
     heard = spoken.join(bounded_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id").distinct()
     scored = pair_bm25(pairs.join(heard, "doc_id", "left_semi"), spoken, queries)
-    best = rerank(
-        scored.withColumn("score", F.round("score", 9)).withColumn("preview", F.lit("text")), final_k
-    )
+    best = rerank(scored.withColumn("preview", F.lit("text")), final_k)
     return best.select("query_id", F.col("doc_id").alias("transcript_id"), "score", "final_rank")
 
 

@@ -8,6 +8,7 @@ from callweave.functions import vectors as vx
 from callweave.operators import clusters, search, ward
 from callweave.operators.joins import top_k
 from callweave.plans import retrieve
+from callweave.session import materialize
 
 from . import views as v
 from .registry import check, view
@@ -161,8 +162,8 @@ view("words_by_source", r"SELECT source AS cluster, unnest(regexp_extract_all(lo
 
 @check("cluster_terms", """
 SELECT cluster, term, round(score, 6) AS score, cast(rank AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM (
-    SELECT cluster, term, round(tf / words * ln(1 + (SELECT avg(w) FROM (SELECT count(*) AS w FROM words_by_source GROUP BY cluster)) / everywhere), 9) AS score
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rank FROM (
+    SELECT cluster, term, tf / words * ln(1 + (SELECT avg(w) FROM (SELECT count(*) AS w FROM words_by_source GROUP BY cluster)) / everywhere) AS score
     FROM (SELECT cluster, term, count(*)::DOUBLE AS tf FROM words_by_source GROUP BY 1, 2)
     JOIN (SELECT cluster, count(*) AS words FROM words_by_source GROUP BY 1) USING (cluster)
     JOIN (SELECT term, count(*) AS everywhere FROM words_by_source GROUP BY 1) USING (term))) WHERE rank <= 3""")
@@ -232,7 +233,7 @@ def fields_of(queries, names=("keywords", "reason_for_call")):
 
 
 def picked(spark, sf, k1, k2, min_sim=None, per_field=True):
-    l2 = v.l2_clusters_vec(spark, sf)
+    l2 = materialize(v.l2_clusters_vec(spark, sf), "l2")
     return retrieve.pick_clusters(fields_of(v.question_vectors(spark, sf)), v.l1_clusters_vec(l2), l2, k1, k2, min_sim, per_field)
 
 

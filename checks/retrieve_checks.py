@@ -8,6 +8,7 @@ from callweave.operators import graph, reports, search, taxonomy
 from callweave.operators.joins import top_k
 from callweave.operators.scan import pages, positions, range_blocks
 from callweave.plans import retrieve
+from callweave.session import materialize
 
 from . import views as v
 from .cluster_checks import hierarchy_ctes, l2_named
@@ -46,7 +47,7 @@ def named_hits(spark, sf):
 
 
 def pruned_star(spark, sf):
-    l2 = v.l2_clusters_vec(spark, sf)
+    l2 = materialize(v.l2_clusters_vec(spark, sf), "l2")
     domains, _ = graph.split_labels(v.question_labels(spark, sf), v.star_taxonomy(spark, sf))
     return retrieve.prune_by_clusters(
         v.question_vectors(spark, sf), domains, v.l1_clusters_vec(l2), l2, v.call_members(spark, sf),
@@ -199,8 +200,8 @@ RERANK = TOP + [
 
 @check("rerank_topk", """
 SELECT query_id, transcript_id, round(score, 6) AS score, cast(final_rank AS BIGINT) AS final_rank FROM (
-  SELECT query_id, transcript_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS final_rank FROM (
-    SELECT f.query_id, f.transcript_id, f.rank, round(coalesce(s.score, 0), 9) AS score FROM first20 f
+  SELECT query_id, transcript_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS final_rank FROM (
+    SELECT f.query_id, f.transcript_id, f.rank, coalesce(s.score, 0) AS score FROM first20 f
     LEFT JOIN pair_scores s USING (query_id, transcript_id))) WHERE final_rank <= 10""", extra=RERANK)
 def rerank_topk(spark, sf):
     best = retrieve.rerank_by_text(first20(spark, sf), named_hits(spark, sf), question_text(spark, sf), 10)
@@ -216,9 +217,9 @@ BM25 = [
     ("doc_len", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\p{L}+'))::DOUBLE AS len FROM documents"),
     ("item_terms", r"SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark"),
     ("doc_idf", "SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM doc_tf GROUP BY 1"),
-    ("keyword_scores", """SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM doc_len)))), 9) AS score
+    ("keyword_scores", """SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM doc_len)))) AS score
         FROM item_terms JOIN doc_idf USING (term) JOIN doc_tf USING (term) JOIN doc_len USING (doc_id) GROUP BY 1, 2"""),
-    ("keyword_top", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM keyword_scores)
+    ("keyword_top", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM keyword_scores)
         WHERE rank <= 10"""),
 ]
 
@@ -334,8 +335,6 @@ UNION ALL SELECT query_id, 'driver_frequency', driver, total::DOUBLE FROM ({FREQ
 UNION ALL SELECT query_id, 'cluster_end', l2_id, child_end FROM ({PIE_SQL})
 UNION ALL SELECT query_id, 'bubble_radius', l2_id, radius FROM ({BUBBLE_SQL})""")
 def report_tables(spark, sf):
-    from callweave.session import materialize
-
     seeds = materialize(seed_calls(spark, sf), "retrieved")
     hits, wanted = v.driver_hits(spark, sf), wanted_drivers(spark, sf)
     l2 = materialize(sized_l2(spark, sf).drop("embedding"), "l2")
