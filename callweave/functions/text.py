@@ -29,6 +29,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
+def word_rows(df, keep: list[str], text: str = "text"):
+    """One row per word of a text: ``(keep, length, term)`` with the text's word count.
+
+    The outer form of the generator keeps Spark from adding a non-empty filter, which
+    would tokenise every text again at the scan.
+    """
+    tokens = df.select(*keep, words(F.col(text)).alias("_words"))
+    sized = tokens.select(*keep, F.size("_words").alias("length"), "_words")
+    return sized.select(*keep, "length", F.explode_outer("_words").alias("term")).filter("term is not null")
+
+
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 

@@ -97,7 +97,7 @@ def distinguishing_terms(texts: DataFrame, k: int = 3) -> DataFrame:
     only in the counts.
     """
     counted = materialize(
-        spread(texts.select("cluster", "text")).select("cluster", F.explode(fx.words(F.col("text"))).alias("term"))
+        fx.word_rows(spread(texts.select("cluster", "text")), ["cluster"])
         .groupBy("cluster", "term").agg(F.count("*").alias("tf")),
         "cluster-terms",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from .joins import bounded_broadcast
-from .scan import carried, index_block
+from .scan import BLOCK_ROWS, carried, index_block
 
 
 def one_shape(calls: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def utterances(calls: DataFrame) -> DataFrame:
     )
 
 
-def dialogue_pairs(rows: DataFrame, index: str = "utterance_idx") -> DataFrame:
+def dialogue_pairs(rows: DataFrame, index: str = "utterance_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number Agent/Customer pairs from 0; an utterance repeated by one speaker starts anew.
 
     Pairing is greedy inside runs of alternating speakers.  Positions, run starts and
@@ -38,7 +38,7 @@ def dialogue_pairs(rows: DataFrame, index: str = "utterance_idx") -> DataFrame:
     any length spreads over tasks.
     """
     keys = ["transcript_id"]
-    df = rows.withColumn("block", index_block(index))
+    df = rows.withColumn("block", index_block(index, block_rows))
     inside = Window.partitionBy(*keys, "block").orderBy(index)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

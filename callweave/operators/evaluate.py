@@ -136,7 +136,7 @@ def gram_overlap(pairs: DataFrame, orders: int, tokens) -> DataFrame:
         for n in range(1, orders + 1) for side in ("c", "r")
     ]))
     counted = (
-        tokenised.select("query_idx", F.inline(grams))
+        tokenised.select("query_idx", F.inline_outer(grams)).filter("gram is not null")
         .groupBy("query_idx", "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
     )
     return counted.groupBy("query_idx", "n").agg(

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize
 from .joins import bounded_broadcast, top_k
 
 #: Weight-matrix entries of one question that a single task may hold.
@@ -179,7 +179,7 @@ def _iterated(calls: DataFrame, alpha: float, max_iter: int, tol: float) -> Data
         spread = state.filter("not done").select(
             "query_id", "label", (F.col("before") / F.col("degree")).alias("h2"),
             (F.col("now") / F.col("degree")).alias("h1"),
-            F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).cast("long").alias("salt"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LABEL_SALTS - 1).cast("long"))).alias("salt"),
         )
         scored = (
             edges.join(spread, ["query_id", "label", "salt"])
@@ -224,8 +224,7 @@ def _iterated(calls: DataFrame, alpha: float, max_iter: int, tol: float) -> Data
 
 
 def stored_candidates(candidates: DataFrame) -> DataFrame:
-    shared_dir(candidates.sparkSession)
-    return candidates.checkpoint()
+    return materialize(candidates, "candidates")
 
 
 def ppr_scores(
@@ -234,9 +233,9 @@ def ppr_scores(
 ) -> DataFrame:
     """``(query_id, transcript_id, overlap, ppr_score)`` for every candidate.
 
-    The candidates are read several times; unless they are ``stored`` already they are
-    checkpointed, which keeps their partitioning by question and call, so that the
-    passes over them need no further shuffle of the calls.
+    The candidates are read several times, each time only the columns of that pass;
+    unless they are ``stored`` already they are written first.  Summing a call's labels
+    happens where the call was read, so a pass moves one small row per call.
     """
     if not stored:
         candidates = stored_candidates(candidates)

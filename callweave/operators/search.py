@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..functions.text import words
+from ..functions.text import word_rows, words
 from ..session import materialize
 from .joins import bounded_broadcast, spread, top_k
 
@@ -72,16 +72,14 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     Terms are counted where the document was read, so only counted terms move; with
     ``terms`` everything else is dropped before that.
     """
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens")).select(
-        "doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")
-    )
+    tokens = word_rows(docs, ["doc_id"])
     if terms is not None:
         tokens = tokens.join(bounded_broadcast(terms.select("term").distinct()), "term", "left_semi")
     return tokens.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    return word_rows(queries, ["query_id"]).select("query_id", "term").distinct()
 
 
 def score_postings(counted: DataFrame, asked: DataFrame, n_docs: int, mean_length: float, k1: float, b: float) -> DataFrame:
@@ -129,8 +127,7 @@ def pair_bm25(
     asked = query_terms(queries)
     wanted = bounded_broadcast(pairs.select("doc_id").distinct())
     terms = materialize(
-        utterances.join(wanted, "doc_id", "left_semi")
-        .select("doc_id", F.explode(words(F.col("text"))).alias("term"))
+        word_rows(utterances.join(wanted, "doc_id", "left_semi"), ["doc_id"])
         .groupBy("doc_id", "term").agg(F.count("*").alias("tf")),
         "postings",
     )

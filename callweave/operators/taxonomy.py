@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import word_rows
 from .joins import bounded_broadcast
 
 # Labels given to a question when its classification cannot be read.
@@ -58,7 +58,7 @@ def match_intents(questions: DataFrame, taxonomy: DataFrame, threshold: float =
     parts = F.filter(F.split("label", "_"), lambda w: (w != "domain") & (w != ""))
     terms = taxonomy.select("label", F.array_distinct(F.transform(parts, _stem)).alias("terms")).distinct()
     label_terms = terms.select("label", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    asked = questions.select("query_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), _stem))).alias("term"))
+    asked = word_rows(questions, ["query_id"]).select("query_id", _stem(F.col("term")).alias("term")).distinct()
     scored = (
         asked.join(bounded_broadcast(label_terms), "term")
         .groupBy("query_id", "label").agg((F.count("*") / F.first("n")).alias("score"))

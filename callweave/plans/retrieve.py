@@ -20,7 +20,8 @@ def split_questions(questions: DataFrame, column: str = "question") -> DataFrame
     """One row per part of a question; each part depends on the one before it."""
     return (
         questions.withColumn("_parts", fx.sub_questions(F.col(column)))
-        .select(*[c for c in questions.columns if c != column], F.posexplode("_parts").alias("_at", "sub_query"))
+        .select(*[c for c in questions.columns if c != column], F.posexplode_outer("_parts").alias("_at", "sub_query"))
+        .filter("_at is not null")
         .withColumn("hop_id", (F.col("_at") + 1).cast("long"))
         .withColumn("depends_on", F.when(F.col("hop_id") > 1, F.col("hop_id") - 1))
         .drop("_at")
