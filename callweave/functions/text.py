@@ -154,7 +154,7 @@ def parse_score(text: Column) -> Column:
         lambda t: t.rlike(r"^[+-]?(\d+(_?\d)*\.?(\d+)?|\.\d+)([eE][+-]?\d+)?$"),
     )
     first = F.get(tokens, F.lit(0)).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)), F.lit(0.0))
+    return F.when(first.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), first)))
 
 
 def extract_json_array(text: Column) -> Column:
