@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import bounded_broadcast
 
 
@@ -96,9 +97,10 @@ def report_tables(
     """The reports of a set of questions as one table ``(query_id, report, key, value)``.
 
     Driver reports exist for questions with drivers, cluster reports for questions with
-    retrieved calls; the joins see to both.
+    retrieved calls; the joins see to both.  ``retrieved`` and the other inputs are read
+    by several reports and should be stored tables.
     """
-    hit = clusters_hit(members, retrieved).select("query_id", "l2_id")
+    hit = materialize(clusters_hit(members, retrieved).select("query_id", "l2_id"), "clusters-hit")
     long = lambda df, report, key, value: df.select(
         "query_id", F.lit(report).alias("report"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")
     )

@@ -103,7 +103,7 @@ def cluster_prompt_text(spark, sf):
                      FROM label_vectors q JOIN l2_clusters_vec c ON c.field = 'keywords'"""),
     *mmr_ctes("sel", "sel_items", ["query_id"], 6, 0.7, True)])
 def mmr_select(spark, sf):
-    queries = v.label_vectors(spark, sf).withColumn("field", F.lit("keywords"))
+    queries = fields_of(v.label_vectors(spark, sf), ("keywords",))
     items = retrieve.cluster_candidates(queries, v.l2_clusters_vec(spark, sf))
     return retrieve.mmr(items.select("query_id", "pos", "vector", "relevance"), ["query_id"], 6,
                         retrieve.MMR_LAMBDA, low_ties=False).select(
@@ -265,5 +265,6 @@ def clusters_hit(spark, sf):
 
     from .graph_checks import candidates_star
 
-    retrieved = graph.seeds(candidates_star(spark, sf)).select("query_id", "transcript_id")
+    stored = materialize(candidates_star(spark, sf).select("query_id", "transcript_id", "overlap"), "candidates")
+    retrieved = materialize(graph.seeds(stored).select("query_id", "transcript_id"), "seeds")
     return reports.clusters_hit(v.call_members(spark, sf), retrieved)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callweave.operators import graph, reports, search, taxonomy
-from callweave.operators.joins import top_k
+from callweave.operators.joins import bounded_broadcast, top_k
 from callweave.operators.scan import pages, positions, range_blocks
 from callweave.plans import retrieve
 from callweave.session import materialize
@@ -180,8 +180,8 @@ def first20(spark, sf):
 SELECT f.query_id, f.transcript_id, 0 AS page, string_agg('Customer: ' || utterance, ' | ' ORDER BY pair_index, utterance) AS preview
 FROM first20 f JOIN named_hits h USING (transcript_id) GROUP BY 1, 2""", extra=TOP)
 def attach_call(spark, sf):
-    top = first20(spark, sf).select("query_id", "transcript_id")
-    said = named_hits(spark, sf).join(F.broadcast(top), "transcript_id")
+    top = materialize(first20(spark, sf).select("query_id", "transcript_id"), "top")
+    said = named_hits(spark, sf).join(bounded_broadcast(top), "transcript_id")
     lines = pages(said, ["query_id", "transcript_id"], ["pair_index", "utterance"],
                   F.concat(F.lit("Customer: "), "utterance"), 1000, "lines")
     return lines.select("query_id", "transcript_id", "page", F.array_join("lines", " | ").alias("preview"))
@@ -262,11 +262,12 @@ SELECT query_id, driver FROM question_drivers UNION SELECT query_id, query_id FR
 
 
 def seed_calls(spark, sf):
-    return graph.seeds(candidates_star(spark, sf)).select("query_id", "transcript_id")
+    stored = materialize(candidates_star(spark, sf).select("query_id", "transcript_id", "overlap"), "candidates")
+    return materialize(graph.seeds(stored).select("query_id", "transcript_id"), "seeds")
 
 
 def wanted_drivers(spark, sf):
-    known = questions_star(spark, sf).select("query_id", "driver")
+    known = materialize(questions_star(spark, sf).select("query_id", "driver"), "wanted")
     return known.unionByName(known.select("query_id", F.col("query_id").alias("driver"))).distinct()
 
 
@@ -306,7 +307,7 @@ SELECT query_id, parent_id, l2_id, name, size, parent_size, total, round(before_
 
 def sized_l2(spark, sf):
     order = v.l2_clusters_vec(spark, sf).select("id", "pos")
-    return l2_named(spark, sf).join(order, "id")
+    return materialize(l2_named(spark, sf).join(order, "id").drop("embedding"), "l2")
 
 
 def hit_star(spark, sf):
@@ -335,9 +336,9 @@ UNION ALL SELECT query_id, 'driver_frequency', driver, total::DOUBLE FROM ({FREQ
 UNION ALL SELECT query_id, 'cluster_end', l2_id, child_end FROM ({PIE_SQL})
 UNION ALL SELECT query_id, 'bubble_radius', l2_id, radius FROM ({BUBBLE_SQL})""")
 def report_tables(spark, sf):
-    seeds = materialize(seed_calls(spark, sf), "retrieved")
+    seeds = seed_calls(spark, sf)
     hits, wanted = v.driver_hits(spark, sf), wanted_drivers(spark, sf)
-    l2 = materialize(sized_l2(spark, sf).drop("embedding"), "l2")
+    l2 = sized_l2(spark, sf)
     return reports.report_tables(hits, seeds, wanted, l2, v.call_members(spark, sf)).withColumn("value", F.round("value", 6))
 
 
