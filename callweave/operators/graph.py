@@ -39,14 +39,13 @@ def adjacency_of_edges(edges: DataFrame) -> DataFrame:
     Repeats are gone before lists are built, so a list holds graph labels, whose number
     the taxonomy bounds, however often a call or driver occurs.
     """
-    pick = lambda edge: F.array_sort(
-        F.collect_list(F.when(F.col("edge") == edge, F.col("target")))
-    )
-    return edges.groupBy("transcript_id").agg(
-        pick("IN_DOMAIN").alias("domains"),
-        pick("HAS_REASON").alias("reasons"),
-        pick("HAS_DRIVER").alias("drivers"),
+    linked = edges.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("edge", "target"))).alias("links"))
+    pick = lambda edge: F.transform(
+        F.filter("links", lambda x: x["edge"] == edge), lambda x: x["target"]
     )
+    return linked.select(
+        "transcript_id", pick("IN_DOMAIN").alias("domains"), pick("HAS_REASON").alias("reasons"),
+        pick("HAS_DRIVER").alias("drivers"))
 
 
 def record_links(records: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def driver_overlap(adjacency_rows: DataFrame, questions: DataFrame, pruned: Data
         keyed("HAS_DRIVER", F.col("drivers")),
     )
     rows = adjacency_rows.select(
-        "transcript_id", "domains", neighbours.alias("neighbours"), F.explode("drivers").alias("driver")
+        "transcript_id", "domains", neighbours.alias("neighbours"), F.explode_outer("drivers").alias("driver")
     )
     hits = rows.join(bounded_broadcast(questions), "driver").filter(
         F.col("allowed_domains").isNull() | F.arrays_overlap("allowed_domains", "domains")
