@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bin_packing import pack_documents
 from .common import table
 from .exact_dedup import exact_groups
+from .line_dedup import remove_repeated_lines
 from .passage_dedup import remove_repeats
 from .simhash_dedup import near_components
+from .training_order import training_order
+
+#: Key of the training order.
+ORDER_KEY = 20240229
 
 QUERIES = {}
 ORACLE = {}
@@ -24,6 +31,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_line_dedup", """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select doc_id, len(l) as n, unnest(l) as line, generate_subscripts(l, 1) as i from d),
+win as (
+    select doc_id, i, line || chr(10) || lead(line) over w || chr(10) || lead(line, 2) over w as win from lines
+    window w as (partition by doc_id order by i)
+), later as (
+    select doc_id, i from win where win is not null qualify row_number() over (partition by win order by doc_id, i) > 1
+), gone as (select distinct doc_id, unnest([i, i + 1, i + 2]) as i from later)
+select doc_id, max(n)::bigint as n_lines, count(g.i)::bigint as n_removed,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where g.i is null), '')) as kept_sha256
+from lines left join gone g using (doc_id, i) group by doc_id
+""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query("op2_training_order")
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ORDER_KEY)
+    return records.select("slot", "shard", "doc_id", "piece", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op3_exact_dedup", """
 with d as (
     select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents
@@ -40,6 +72,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400).select(
