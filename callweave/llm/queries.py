@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bin_packing import pack_documents
+from .byte_bpe import decode, encode
 from .common import table
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .line_dedup import remove_repeated_lines
 from .passage_dedup import remove_repeats
 from .simhash_dedup import near_components
+from .topk_search import top_k_search
 from .training_order import training_order
 
 #: Key of the training order.
@@ -67,6 +70,39 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return decode(encoded, ranks, pattern, ["doc_id", "n_tokens"]).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+@query("op6_topk_search", """
+with v as (
+    select vec_id, row_number() over () as r, embedding from embeddings
+    where vec_id is not null and embedding is not null
+), c as (
+    select r, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from v
+), bad as (select distinct r from c where x is null or not isfinite(x)),
+w as (select r, vec_id, i, floor(256 * x)::bigint as x from c where r not in (select r from bad)),
+s as (
+    select a.r, a.vec_id as query_id, b.vec_id, sum(a.x * b.x)::bigint as score
+    from w a join w b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by a.r, a.vec_id, b.r, b.vec_id
+)
+select query_id, (row_number() over (partition by r order by score desc, vec_id))::int as rank, vec_id, score
+from s qualify rank <= 5
+""")
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op7_simhash_dedup")
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
