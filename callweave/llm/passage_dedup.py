@@ -51,13 +51,13 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left[:n], right[width - 1:width - 1 + n])
 
 
-def sample(text: bytes, length: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def sample(text: bytes, length: int, reach: int, at_once: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sampled positions with the first and last start of a window that chooses them.
 
     A window looks at the ``reach`` positions from its start on; the leftmost of the least ones is chosen.
     """
-    for base in range(0, len(text) - length + 1, PIECE):
-        piece = np.frombuffer(text[base:base + PIECE + length - 1] + bytes(8), np.uint8)
+    for base in range(0, len(text) - length + 1, at_once):
+        piece = np.frombuffer(text[base:base + at_once + length - 1] + bytes(8), np.uint8)
         n = len(piece) - 8
         grams = np.ndarray((n,), "<u8", piece, 0, (1,)) * MIX[0]
         grams ^= grams >> np.uint64(29)
@@ -164,29 +164,31 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     steps = cut.mapInArrow(lambda b: _cut_runs(b, length, step), schema)
     steps = stored(steps.withColumn("side", F.xxhash64("first", "last", "left", "right")), "steps")
 
+    # How often each side of a core occurs, and whether sides of a core differ with one of them alone.
     core = ["step", "core1", "core2"]
-    sides = stored(steps.groupBy(*core, "side").agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "row_hash", "at")).alias("run"),
-        *(F.first(c).alias(c) for c in ("first", "last", "left", "right")),
-    ), "sides")
-    several = sides.filter("n > 1").select(*core, "side")
-    by_step = steps.filter("n = 1").join(several, [*core, "side"]).select(
+    sides = steps.groupBy(*core, "side").agg(F.sum("n").alias("all"))
+    differ = sides.groupBy(*core).agg(F.count("*").alias("sides"), F.min("all").alias("least")).filter("sides > 1 and least = 1")
+    sides = sides.join(differ.select(*core, F.lit(True).alias("cut")), core, "left").filter("all > 1 or cut")
+    judged = stored(steps.join(sides, [*core, "side"]), "sides")
+    release(steps)
+    by_step = judged.filter("n = 1 and all > 1").select(
         "doc_id", "row_hash", (F.col("at") - F.col("last")).alias("lo"), (F.col("at") - F.col("first")).alias("hi")
     )
-    # Single suffixes, where sides of one core differ and one of them is alone.
-    differ = sides.groupBy(*core).agg(F.count("*").alias("sides"), F.min("n").alias("least")).filter("sides > 1 and least = 1")
+    # Single suffixes of the sides that differ, one run for each side; a suffix is its core, place, left and right part.
     single = (
-        sides.join(differ.select(*core), core, "left_semi")
+        judged.filter("cut").groupBy(*core, "side")
+        .agg(F.first("all").alias("all"), F.min(F.struct("doc_id", "row_hash", "at", "first", "last", "left", "right")).alias("run"))
+        .select(*core, "all", "run.*")
         .withColumn("offset", F.explode(F.sequence("first", "last")))
         .withColumn("m", F.col("offset") - F.col("step") * step)
-        .withColumn("left", F.expr("substring(left, length(left) - m + 1, m)"))
-        .withColumn("right", F.expr(f"substring(right, 1, {step - 1} - m)"))
-    )
-    suffix = [*core, "offset", "left", "right"]
-    same = single.groupBy(*suffix).agg(F.sum("n").alias("all")).filter("all > 1").drop("all")
-    by_suffix = single.filter("n = 1").join(same, suffix).select(
-        "run.doc_id", "run.row_hash", (F.col("run.at") - F.col("offset")).alias("lo"), (F.col("run.at") - F.col("offset")).alias("hi")
     )
+    suffix = [*core, "offset", F.expr("substring(left, length(left) - m + 1, m)"), F.expr(f"substring(right, 1, {step - 1} - m)")]
+    single = stored(single.select(
+        "doc_id", "row_hash", (F.col("at") - F.col("offset")).alias("lo"), "all",
+        F.xxhash64(*suffix).alias("name1"), F.xxhash64(F.lit(1), *suffix).alias("name2"),
+    ), "suffixes")
+    same = single.groupBy("name1", "name2").agg(F.sum("all").alias("ties")).filter("ties > 1").drop("ties")
+    by_suffix = single.filter("all = 1").join(same, ["name1", "name2"]).select("doc_id", "row_hash", "lo", F.col("lo").alias("hi"))
     return tied.union(whole).union(by_step).union(by_suffix)
 
 

@@ -4,8 +4,7 @@ from collections import Counter
 
 import pytest
 
-from callweave.llm import passage_dedup
-from callweave.llm.passage_dedup import remove_repeats
+from callweave.llm.passage_dedup import remove_repeats, sample
 
 
 def brute(texts, length):
@@ -43,9 +42,15 @@ def corpus(seed):
     return out + out[10:14]
 
 
-@pytest.mark.parametrize("length,step,piece", [(40, 6, 1 << 21), (64, 22, 100), (17, 5, 1 << 21)])
-def test_against_brute_force(spark, monkeypatch, length, step, piece):
-    monkeypatch.setattr(passage_dedup, "PIECE", piece)
+def test_sample_is_the_same_in_pieces():
+    text = corpus(3)[20].encode() * 3
+    whole = {(p, a) for at, lo, hi in sample(text, 40, 33) for a, s, e in zip(at, lo, hi) for p in range(s, e + 1)}
+    parts = {(p, a) for at, lo, hi in sample(text, 40, 33, at_once=50) for a, s, e in zip(at, lo, hi) for p in range(s, e + 1)}
+    assert whole == parts and len(whole) == len(text) - 39
+
+
+@pytest.mark.parametrize("length,step", [(40, 6), (64, 22), (17, 5)])
+def test_against_brute_force(spark, length, step):
     texts = corpus(length)
     ids = [None if i == 20 else i // 2 if i < 8 else i for i in range(len(texts))]
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").selectExpr("*", "1 as core", "2 as lo", "3 as row_hash")
