@@ -14,14 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id``, ``text`` (null counts as empty) and ``row_hash``, which tells apart texts under one id.
 
-    Only these columns go on, so extra columns never clash.  Ids may be null or repeat: operators join on
-    ``doc_id`` and ``row_hash`` null-safely, and what they join is unique in both, so no row is multiplied.
+    Only these columns go on, so extra columns never clash; with ``carry`` the others (all but the text) travel in one
+    struct ``extra``.  Ids may be null or repeat: operators join on ``doc_id`` and ``row_hash`` null-safely, and what they join
+    is unique in both, so no row is multiplied.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    extra = [F.struct(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns)).alias("extra")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"), *(extra if carry else []))
+
+
+def with_extra(schema: str, rows: DataFrame) -> str:
+    """``schema`` and what ``keyed`` rows carry."""
+    return schema + "".join(f", extra {rows.schema[c].dataType.simpleString()}" for c in rows.columns[3:])
 
 
 def same_row(left: DataFrame, right: DataFrame) -> Column:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, release, same_row, stored
+from .common import keyed, release, same_row, stored, with_extra
 
 #: Consecutive lines of a window.
 WINDOW = 3
@@ -62,13 +62,14 @@ def _without(batches, width: int):
             n_lines.append(len(lines))
             removed.append(int((~stay).sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(3), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64())],
-            ["doc_id", "row_hash", "kept_text", "n_lines", "n_removed"],
+            [batch.column(0), batch.column(3), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()),
+             *batch.columns[4:]],
+            ["doc_id", "row_hash", "kept_text", "n_lines", "n_removed", *batch.schema.names[4:]],
         )
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``row_hash``, ``kept_text``, ``n_lines``, ``n_removed`` for every row of ``docs``.
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, carry: bool = False) -> DataFrame:
+    """``doc_id``, ``row_hash``, ``kept_text``, ``n_lines``, ``n_removed`` for every row of ``docs``, and ``extra`` with ``carry``.
 
     Lines are what stands between line feeds; null counts as empty, and the empty text is one empty line.  A window is
     ``width`` consecutive lines of one text, compared exactly; a text of fewer lines has none and stays whole.  Places
@@ -76,16 +77,18 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     others go, also where windows overlap in one text.  Windows are judged on the input.  Repeated rows count as one
     text, so none of them loses lines to the other.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
     schema = "doc_id long, row_hash long, line int, hash_a long, hash_b long"
     windows = stored(rows.select("doc_id", "text", "row_hash").mapInArrow(lambda b: _windows(b, width), schema), "windows")
     place = F.struct("doc_id", "row_hash", "line")
     repeated = windows.groupBy("hash_a", "hash_b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(repeated.drop("n"), ["hash_a", "hash_b"]).filter(~place.eqNullSafe(F.col("first")))
+    repeated = stored(repeated.drop("n"), "repeated")  # a stored side lets adaptive execution split hot windows of the other
+    later = windows.join(repeated, ["hash_a", "hash_b"]).filter(~place.eqNullSafe(F.col("first")))
     later = later.groupBy("doc_id", "row_hash").agg(F.collect_list("line").alias("firsts"))
     later = stored(later, "later")
     release(windows)
-    both = rows.join(later, same_row(rows, later), "left").select(rows["doc_id"], "text", "firsts", rows["row_hash"])
-    return both.mapInArrow(
-        lambda b: _without(b, width), "doc_id long, row_hash long, kept_text string, n_lines long, n_removed long"
-    )
+    # The same join at every size: a broadcast that fits today would be a shuffle tomorrow.
+    later = later.hint("merge")
+    both = rows.join(later, same_row(rows, later), "left").select(rows["doc_id"], "text", "firsts", rows["row_hash"], *rows.columns[3:])
+    schema = "doc_id long, row_hash long, kept_text string, n_lines long, n_removed long"
+    return both.mapInArrow(lambda b: _without(b, width), with_extra(schema, rows))
