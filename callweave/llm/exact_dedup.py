@@ -80,6 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     roots = stored(roots, "roots")
     groups = roots.groupBy("level", "name").agg(F.min("doc_id").alias("keep"), F.sum("copies").alias("size"))
+    groups = stored(groups, "groups")  # a stored side lets adaptive execution split hot groups of the other
     # Repeated rows have equal roots, so one row per (id, text) is enough to join back.
     found = roots.join(groups, ["level", "name"]).groupBy("doc_id", "row_hash").agg(
         F.first("keep").alias("keep"), F.first("size").alias("size")

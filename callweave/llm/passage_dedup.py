@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, release, same_row, stored
+from .common import keyed, release, same_row, stored, with_extra
 
 #: Starts in a run of the second level.
 STEP = 22
@@ -142,6 +142,7 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     buckets = suffixes.groupBy("core").agg(
         F.count("*").alias("size"), (F.min("span") < F.max("span")).alias("mixed")
     ).filter("size > 1").select("core", "mixed")
+    buckets = stored(buckets, "cores")  # a stored side lets adaptive execution split hot buckets of the other
     repeated = stored(suffixes.join(buckets, "core"), "buckets")
     release(suffixes)
     place = ["doc_id", "row_hash", "lo", "hi"]
@@ -157,7 +158,8 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     alone = spans.filter("n = 1").select("core").distinct()
     runs = spans.join(alone, "core", "left_semi").groupBy("run.doc_id", "run.row_hash").agg(
         F.collect_list(F.struct("run.at", "run.lo", "run.hi", "n")).alias("runs")
-    )
+    ).hint("merge")
+    rows = rows.select("doc_id", "text", "row_hash")
     cut = rows.join(runs, same_row(rows, runs)).select(rows["doc_id"], "text", rows["row_hash"], "runs")
     schema = ("doc_id long, row_hash long, at int, n long, step int, first int, last int, core1 long, core2 long, "
               "left binary, right binary")
@@ -192,8 +194,8 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     return tied.union(whole).union(by_step).union(by_suffix)
 
 
-def _take_out(batches, length: int):
-    """Merge covered positions and cut them out of whole texts."""
+def _take_out(batches, length: int, as_text: bool):
+    """Merge covered positions and cut them out of whole texts; ``as_text`` keeps whole characters only."""
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         kept, removed = [], []
@@ -205,28 +207,34 @@ def _take_out(batches, length: int):
                 else:
                     spans.append([lo, hi])
             edges = [0, *(x for span in spans for x in span), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            left = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+            kept.append("".join(part.decode(errors="ignore") for part in left) if as_text else b"".join(left))
             removed.append([{"begin": a, "end": b} for a, b in spans])
         spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(3), pa.array([len(t) for t in texts.to_pylist()], pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, spans_type)],
-            ["doc_id", "row_hash", "n_bytes", "kept", "removed"],
+            [batch.column(0), batch.column(3), pa.array([len(t) for t in texts.to_pylist()], pa.int64()), 
+             pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, spans_type), *batch.columns[4:]],
+            ["doc_id", "row_hash", "n_bytes", "kept", "removed", *batch.schema.names[4:]],
         )
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, step: int = STEP
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, step: int = STEP, carry: bool = False
 ) -> DataFrame:
     """``doc_id``, ``row_hash``, ``n_bytes``, ``kept`` (bytes that remain), ``removed`` (byte ranges) for every row.
 
+    With ``carry`` also ``extra``, and ``kept`` is text: where a cut splits a character, its rest goes too.
+
     A byte goes when a string of ``length`` bytes that covers it also starts at another place of the table, in the same
     text or another; every place loses it.  Texts are UTF-8 bytes, null counts as empty, matches stay within a text, and
     a text shorter than ``length`` keeps all.  Repeated rows are places of their own, so their texts go.  Null ids are
-    rows like others.  Cut bytes may split a character; ``whole_characters`` widens what is kept to whole ones.
+    rows like others.  A cut may split a character.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
     starts = stored(repeated_starts(rows, length, step), "starts")
-    runs = starts.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    both = rows.join(runs, same_row(rows, runs), "left").select(rows["doc_id"], "text", "runs", rows["row_hash"])
-    schema = "doc_id long, row_hash long, n_bytes long, kept binary, removed array<struct<begin:int,end:int>>"
-    return both.mapInArrow(lambda b: _take_out(b, length), schema)
+    # The same join at every size: a broadcast that fits today would be a shuffle tomorrow.
+    runs = starts.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("merge")
+    both = rows.join(runs, same_row(rows, runs), "left").select(rows["doc_id"], "text", "runs", rows["row_hash"], *rows.columns[3:])
+    kind = "string" if carry else "binary"
+    schema = f"doc_id long, row_hash long, n_bytes long, kept {kind}, removed array<struct<begin:int,end:int>>"
+    return both.mapInArrow(lambda b: _take_out(b, length, carry), with_extra(schema, rows))
