@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, keyed, stored
 
 #: Distinct fingerprints of a leaf node; two of these are what one task holds.
 CELL = 1 << 16
@@ -55,11 +55,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            prints = np.array([fingerprint(t.as_py() or b"", shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "print"])
+            prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "row_hash", "print"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_hash long, print long")
 
 
 def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int) -> Iterator[tuple]:
@@ -218,13 +217,41 @@ def near_components(
     never name a component, unless all ids of it are null.  Repeated rows give repeated rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    named = _components(prints, bits, cell)
+    return prints.join(named, "print").select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components(prints: DataFrame, bits: int, cell: int) -> DataFrame:
+    """``print``, ``component`` (a print of the component), ``component_id`` (its smallest id) per distinct fingerprint."""
     distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
     groups = components(links(distinct.select("print"), bits, cell))
     named = distinct.join(groups, distinct["print"] == groups["node"], "left").select(
         "print", "first", F.coalesce("component", "print").alias("component")
     )
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(least, "component").select("print", "component_id"), "named")
-    return prints.join(named, "print").select(
-        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    return stored(named.join(least, "component").select("print", "component", "component_id"), "named")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, seed: int = 42, cell: int = CELL
+) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one with the smallest id (null last), then the smallest text hash.
+
+    Of repeated rows one stays.  All columns of ``docs`` come back as they were.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    named = _components(prints, bits, cell).select("print", "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    winners = prints.join(named, "print").groupBy("component").agg(F.min(order).alias("row")).select("row.doc_id", "row.row_hash")
+    # Join and numbering use the same plain keys, so the rows cross one exchange; numbering leaves one of repeated rows.
+    keys = ["no_id", "id", "row_hash"]
+    no_id, known_id = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"),
+        F.struct(*docs.columns).alias("extra"),
     )
+    kept = rows.select(no_id, known_id, "row_hash", "extra").join(winners.select(no_id, known_id, "row_hash").hint("merge"), keys)
+    again = Window.partitionBy(*keys).orderBy(F.lit(1))
+    return kept.withColumn("nth", F.row_number().over(again)).filter("nth = 1").select("extra.*")
