@@ -91,12 +91,18 @@ def _unpack(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // powers % 3
 
 
+def label_chances(codes: np.ndarray, table: np.ndarray, prior: float) -> np.ndarray:
+    """Chance of good per pattern.  Silence says nothing, since it mostly tells short texts from long ones."""
+    onehot = np.eye(3)[_unpack(codes)][:, :, [0, 2]]
+    logs = np.einsum("plv,clv->cp", onehot, np.log(table)) + np.log([1 - prior, prior])[:, None]
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
 def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Chance of good per pattern; chance of a bad or good vote per labeller on bad and good texts; share of good texts.
 
-    Silence says nothing, since it mostly tells short texts from long ones.  Labellers look for different faults, so on a
-    bad text most of them vote good: the start takes texts with any bad vote as suspect, which also says which of the
-    two classes is the good one.
+    Labellers look for different faults, so on a bad text most of them vote good: the start takes texts with any bad
+    vote as suspect, which also says which of the two classes is the good one.
     """
     patterns = _unpack(codes)
     good = np.where((patterns == 0).any(axis=1), 0.1, 0.9)
@@ -109,8 +115,7 @@ def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> t
         table = held / held.sum(axis=2, keepdims=True)
         table[1, :, 0] = np.minimum(table[1, :, 0], FALSE_ALARMS)
         table[1, :, 1] = 1 - table[1, :, 0]
-        logs = np.einsum("plv,clv->cp", onehot, np.log(table)) + np.log([1 - prior, prior])[:, None]
-        before, good = good, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+        before, good = good, label_chances(codes, table, prior)
         if np.abs(good - before).max(initial=0) < 1e-9:
             break
     return good, table, prior
@@ -155,8 +160,12 @@ def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, rate: floa
 @dataclass
 class Model:
     weights: np.ndarray
-    chances: dict[int, float]  # of good, per vote pattern
-    accuracies: dict[str, tuple[float, float]]  # per labeller, of its votes on bad and on good texts
+    table: np.ndarray  # chance of a bad and a good vote per class and labeller
+    prior: float
+
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Share of right votes per labeller, on bad and on good texts."""
+        return {name: (float(self.table[0, i, 0]), float(self.table[1, i, 1])) for i, name in enumerate(LABELLERS)}
 
 
 def _read(text: str | None) -> tuple[Traits, np.ndarray]:
@@ -185,15 +194,14 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = sorted(tuple(r) for r in texts.mapInArrow(_patterns, "code int").groupBy("code").count().collect())
     codes, counts = np.array([c for c, _ in found], np.int64), np.array([n for _, n in found], np.float64)
-    good, table, _ = fit_labels(codes, counts)
+    good, table, prior = fit_labels(codes, counts)
     chances = dict(zip(codes.tolist(), good.tolist()))
     share = min(1.0, sample / max(1.0, counts.sum()))
     picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = picked.mapInArrow(_examples, "code int, x binary").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, FEATURES)
     weights = fit_scorer(x, np.array([chances[r["code"]] for r in rows]))
-    right = {name: (float(table[0, i, 0]), float(table[1, i, 1])) for i, name in enumerate(LABELLERS)}
-    return Model(weights, chances, right)
+    return Model(weights, table, prior)
 
 
 def _score(model: Model, text: str | None) -> tuple[int, float]:
@@ -211,8 +219,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_score(model, t) for t in batch.column(1).to_pylist()]
+            chances = label_chances(np.array([c for c, _ in out], np.int64), model.table, model.prior)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([model.chances[c] for c, _ in out], pa.float64()), pa.array([float(s) for _, s in out], pa.float64())],
+                [batch.column(0), pa.array(chances), pa.array([float(s) for _, s in out], pa.float64())],
                 ["doc_id", "label_chance", "score"],
             )
 
