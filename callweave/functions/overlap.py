@@ -40,23 +40,28 @@ def union_lcs_hits():
 
     @F.pandas_udf(T.LongType())
     def hits(reference, candidate):
-        import numpy as np
         import pandas as pd
         from collections import Counter
 
         def aligned(ref, cand):
-            table = np.zeros((len(ref) + 1, len(cand) + 1), dtype=np.int32)
-            cand_ids = np.array(cand, dtype=object)
+            # One row of bits per candidate token: a zero at bit i says that the LCS grows at reference token i.
+            where: dict = {}
             for i, token in enumerate(ref):
-                # A row of the LCS table is the running maximum of its two sources.
-                take = np.where(cand_ids == token, table[i, :-1] + 1, 0)
-                table[i + 1, 1:] = np.maximum.accumulate(np.maximum(take, table[i, 1:]))
+                where[token] = where.get(token, 0) | (1 << i)
+            full = (1 << len(ref)) - 1
+            rows = [full]
+            for token in cand:
+                row, common = rows[-1], rows[-1] & where.get(token, 0)
+                rows.append(((row + common) | (row - common)) & full)
             found, i, j = set(), len(ref), len(cand)
             while i and j:
                 if ref[i - 1] == cand[j - 1]:
                     i, j = i - 1, j - 1
                     found.add(i)
-                elif table[i, j - 1] > table[i - 1, j]:
+                    continue
+                low = (1 << i) - 1
+                left, up = i - (rows[j - 1] & low).bit_count(), i - 1 - (rows[j] & (low >> 1)).bit_count()
+                if left > up:
                     j -= 1
                 else:
                     i -= 1

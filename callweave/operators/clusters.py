@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions import vectors as vx
 from ..session import materialize
-from .joins import bounded_broadcast, spread, top_k
+from .joins import bounded_broadcast, top_k
 from .mmr import mmr
 
 # Cluster numbers, representative picks and view weights.
@@ -97,7 +97,7 @@ def distinguishing_terms(texts: DataFrame, k: int = 3) -> DataFrame:
     only in the counts.
     """
     counted = materialize(
-        fx.word_rows(spread(texts.select("cluster", "text")), ["cluster"])
+        fx.word_rows(texts.select("cluster", "text"), ["cluster"])
         .groupBy("cluster", "term").agg(F.count("*").alias("tf")),
         "cluster-terms",
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions import vectors as vx
 from ..functions.overlap import lcs_length, union_lcs_hits
-from .joins import spread
 
 # Similarity from which a call counts as found, and the one of the sample run.
 MATCH_THRESHOLD, SAMPLE_THRESHOLD = 0.7, 0.25
@@ -39,8 +38,8 @@ def sides(rows: DataFrame) -> DataFrame:
 
 
 def side_vectors(both: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ground truth and retrieved vectors, looked up by one join."""
-    found = both.join(vectors.select(F.col("call"), vx.unit(vx.as_vector("vector")).alias("vector")), "call")
+    """Ground truth and retrieved vectors, looked up by one join; a call without a vector stays, with none."""
+    found = both.join(vectors.select(F.col("call"), vx.unit(vx.as_vector("vector")).alias("vector")), "call", "left")
     one = lambda name: found.filter(F.col("side") == name).select("query_idx", "pos", "vector")
     return one("ground_truth"), one("retrieved")
 
@@ -56,7 +55,7 @@ def similarity_rows(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
     return truth.select("query_idx", F.col("pos").alias("gt_pos"), "vector").join(paged, "query_idx").select(
         "query_idx", "gt_pos",
         F.transform("items", lambda r: F.struct(
-            r["ret_pos"].alias("ret_pos"), F.round(vx.dot(r["v"], F.col("vector")), 12).alias("sim"))).alias("sims"))
+            r["ret_pos"].alias("ret_pos"), F.coalesce(F.round(vx.dot(r["v"], F.col("vector")), 12), F.lit(0.0)).alias("sim"))).alias("sims"))
 
 
 def pair_similarity(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def retrieval_metrics(
 ) -> DataFrame:
     """Recall, mean best similarity, hit@k and reciprocal rank per question.
 
-    Recall and the mean look at all retrieved calls; ``k`` limits hit and rank only.  A
+    A call without a vector is like no other, so it counts as a miss.  Recall and the mean look at all retrieved calls; ``k`` limits hit and rank only.  A
     question without ground truth or without retrieved calls scores 0 everywhere.
     """
     sims = similarity_rows(truth, retrieved)
@@ -130,7 +129,7 @@ def gram_overlap(pairs: DataFrame, orders: int, tokens) -> DataFrame:
 
     Both texts are exploded together and counted per n-gram map-side.
     """
-    tokenised = spread(pairs).select("query_idx", tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
+    tokenised = pairs.select("query_idx", tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
     grams = F.flatten(F.array(*[
         _tagged(_grams(F.col(side), n), n, side)
         for n in range(1, orders + 1) for side in ("c", "r")
@@ -189,7 +188,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     """ROUGE-L over whole texts and ROUGE-Lsum over their lines."""
     lines = lambda c: F.filter(
         F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), rouge_tokens), lambda t: F.size(t) > 0)
-    tokens = spread(pairs).select(
+    tokens = pairs.select(
         "query_idx", rouge_tokens(F.col("candidate")).alias("c"), rouge_tokens(F.col("reference")).alias("r"),
         lines("candidate").alias("cl"), lines("reference").alias("rl"))
     measured = tokens.select(

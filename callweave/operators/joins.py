@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Row bound below which a lookup side may be shipped to every task.
-BROADCAST_ROWS = 200_000
+#: Estimated bytes up to which a lookup side may be shipped to every task.
+BROADCAST_BYTES = 8 << 20
+#: Plan nodes whose output Catalyst cannot bound by their input.
+UNBOUNDED = ("Generate", "Expand", "InPandas", "InArrow", "Join", "Union", "Range")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays within ``max_rows``.
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the plan itself bounds ``df`` to ``max_bytes``; no job runs for it.
 
-    Beyond the bound the side is returned without a hint, so the join shuffles and the
-    adaptive skew-join rule splits hot keys.
+    Scans, filters, projections and aggregations cannot outgrow their files, so Catalyst's estimate bounds them.  Any
+    other plan is left to adaptive execution, which knows the size of a side before it joins it.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in UNBOUNDED):
+        return df
+    return F.broadcast(df) if int(plan.stats().sizeInBytes().toString()) <= max_bytes else df
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -27,12 +32,3 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise work on an input that arrives in too few partitions.
-
-    Input that already has at least one partition per core is left alone, so a large
-    table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..functions.text import word_rows, words
 from ..session import materialize
-from .joins import bounded_broadcast, spread, top_k
+from .joins import bounded_broadcast, top_k
 
 #: Query-matrix cells that a task receives at once.
 QUERY_CELL_LIMIT = 4_000_000
@@ -104,7 +104,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     document frequencies and the scores are both read from.
     """
     asked = query_terms(queries)
-    docs = spread(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     sizes = docs.agg(
         F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"\p{L}+"))).alias("mean")
     ).first()
@@ -168,7 +168,7 @@ def nearest_text_vectors(docs: DataFrame, dimensions: int = 256) -> DataFrame:
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = spread(docs.select("item_id", "text")).select("item_id", words(F.col("text")).alias("tokens"))
+    tokens = docs.select("item_id", "text").select("item_id", words(F.col("text")).alias("tokens"))
     stages = [
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimensions),
         IDF(inputCol="tf", outputCol="weighted"),

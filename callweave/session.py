@@ -8,8 +8,6 @@ join decision.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +28,8 @@ def build_session(app: str = "callweave", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # Keys of long streams live on disk, not in the heap.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -38,20 +38,25 @@ def build_session(app: str = "callweave", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for local sessions without any."""
+    """The cluster's checkpoint folder, else a folder of the warehouse, which all executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    local = tempfile.mkdtemp(prefix="callweave-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate").rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all intermediate tables of this application."""
+    return f"{shared_dir(spark)}/callweave/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/callweave/{label}-{uuid.uuid4().hex}"
+    """A path in the folder of this run that nothing else uses."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "state", partition_by: list[str] | None = None) -> DataFrame:
@@ -64,6 +69,3 @@ def materialize(df: DataFrame, label: str = "state", partition_by: list[str] | N
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

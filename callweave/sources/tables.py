@@ -25,7 +25,15 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schema.EVALUATION)
+    """An evaluation file by its header: known columns as text, in any order, numbered by ``query_idx`` if it has none.
+
+    Cells may hold line ends, so one task reads a file; convert large ones to Parquet once.
+    """
+    rows = spark.read.options(**CSV_OPTIONS).csv(path)
+    rows = rows.select(*(c for c in schema.EVALUATION.names if c in rows.columns))
+    if "query_idx" in rows.columns:
+        return rows.withColumn("query_idx", F.col("query_idx").cast("long"))
+    return rows.select(F.monotonically_increasing_id().alias("query_idx"), "*")
 
 
 def read_json_table(spark: SparkSession, path: str, columns: T.StructType, multiline: bool = True) -> DataFrame:

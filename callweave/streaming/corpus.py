@@ -2,74 +2,69 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators.graph import graph_records, record_edges
-
-#: Buckets of stored edges; an update reads back only the buckets it touches.
-EDGE_BUCKETS = 64
+from ..operators.graph import graph_records, record_links
 
 
 def corpus_stream(spark: SparkSession, source: str) -> DataFrame:
-    """Calls from JSON line files, each transcript once.
-
-    A call without a timestamp takes its file's, so repeats within the watermark are
-    recognised by id and their state can expire.
-    """
+    """Calls with an id from JSON line files; a call without a timestamp takes its file's."""
     rows = spark.readStream.schema(schema.CALL).option("mode", "PERMISSIVE").json(source)
     timed = rows.withColumn("timestamp", F.coalesce("timestamp", "_metadata.file_modification_time"))
-    return (
-        timed.filter(F.coalesce("transcript_id", F.lit("")) != "")
-        .withWatermark("timestamp", "1 day").dropDuplicatesWithinWatermark(["transcript_id"])
-    )
-
-
-def append_corpus(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
-    """Append the files that have arrived since the last run, once each."""
-    query = (
-        corpus_stream(spark, source).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
+    return timed.filter(F.coalesce("transcript_id", F.lit("")) != "")
 
-def stored_edges(spark: SparkSession, path: str) -> DataFrame | None:
-    """The edges written so far, None before the first batch."""
-    from pyspark.errors import AnalysisException
 
+def stored_ids(spark: SparkSession, target: str) -> DataFrame | None:
+    """``transcript_id``, ``batch`` of the calls written so far, None before the first batch."""
     try:
-        return spark.read.schema(
-            "transcript_id string, edge string, target string, batch long, bucket int").parquet(path)
+        return spark.read.schema("transcript_id string, batch long").parquet(target)
     except AnalysisException:
         return None
 
 
-def upsert_edges(batch: DataFrame, number: int, path: str) -> None:
-    """Write the edges of a batch that are not stored yet.
+def add_calls(batch: DataFrame, number: int, target: str) -> None:
+    """Write the calls of a batch whose ids earlier batches have not, each once.
 
-    Each batch has its own folder and compares only with earlier ones, so a batch that
-    runs again replaces its own output.
+    Ids decide, not times: a call may be older than all stored ones.  A batch has its own folder and compares only with
+    earlier ones, so a batch that runs again replaces its own output.  Of the stored calls only the ids are read.
     """
-    spark = batch.sparkSession
-    fresh = record_edges(graph_records(batch)).withColumn(
-        "bucket", F.pmod(F.xxhash64("transcript_id"), F.lit(EDGE_BUCKETS)).cast("int"))
-    known = stored_edges(spark, path)
+    fresh = batch.dropDuplicates(["transcript_id"])
+    known = stored_ids(batch.sparkSession, target)
     if known is not None:
-        earlier = known.filter(F.col("batch") < number).select("transcript_id", "edge", "target", "bucket")
-        fresh = fresh.join(earlier, ["bucket", "transcript_id", "edge", "target"], "left_anti")
-    fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        earlier = known.filter(F.col("batch") < number).select("transcript_id")
+        fresh = fresh.join(earlier, "transcript_id", "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
+def append_corpus(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """Append the files that have arrived since the last run, each call once."""
+    query = (
+        corpus_stream(spark, source).writeStream.foreachBatch(lambda df, n: add_calls(df, n, target))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
 
 
 def update_graph(spark: SparkSession, source: str, path: str, checkpoint: str, max_files: int | None = None) -> None:
-    """Add nodes and edges of newly arrived calls to the stored graph."""
+    """Add nodes and edges of newly arrived calls to the stored graph.
+
+    The keys of known edges live in the state store, so a batch reads and writes its own edges only.
+    """
     reader = spark.readStream.schema(schema.CALL)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    calls = reader.json(source).filter(F.coalesce("transcript_id", F.lit("")) != "")
+    edges = record_links(graph_records(calls)).dropDuplicates(["transcript_id", "edge", "target"])
     query = (
-        reader.json(source).filter(F.coalesce("transcript_id", F.lit("")) != "")
-        .writeStream.foreachBatch(lambda df, n: upsert_edges(df, n, path))
+        edges.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def stored_edges(spark: SparkSession, path: str) -> DataFrame:
+    """The edges written so far."""
+    return spark.read.schema("transcript_id string, edge string, target string").parquet(path)

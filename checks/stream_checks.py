@@ -23,6 +23,17 @@ def arriving_calls(spark, sf):
     return path
 
 
+def later_and_earlier(spark, sf):
+    """The same calls in two folders: first those of odd numbers, dated today, then all, the rest dated long before."""
+    calls = conv_keyed(spark, sf).drop("part")
+    odd = F.split("transcript_id", "#")[0].cast("long") % 2 == 1
+    dated = calls.withColumn("timestamp", F.when(odd, F.lit("2024-02-01")).otherwise(F.lit("2023-01-01")).cast("timestamp"))
+    path = fresh_path(spark, "dated")
+    dated.filter(odd).write.json(f"{path}/first")
+    dated.write.json(f"{path}/second")
+    return path
+
+
 def arriving_messages(spark, sf):
     path = fresh_path(spark, "messages")
     rows = vc.messages(spark, sf).withColumn("metadata", F.lit(None).cast("string")).select(*schema.MESSAGE.names)
@@ -32,8 +43,9 @@ def arriving_messages(spark, sf):
 
 @check("stream_corpus", CALL_COUNTS)
 def stream_corpus(spark, sf):
-    source, target = arriving_calls(spark, sf), fresh_path(spark, "corpus")
-    st.append_corpus(spark, source, target, fresh_path(spark, "checkpoint"))
+    path, target, checkpoint = later_and_earlier(spark, sf), fresh_path(spark, "corpus"), fresh_path(spark, "checkpoint")
+    for arrived in ("first", "{first,second}"):  # the second run sees new files in the same source, older calls and repeats
+        st.append_corpus(spark, f"{path}/{arrived}", target, checkpoint)
     return call_counts(spark.read.schema(schema.CALL).parquet(target))
 
 

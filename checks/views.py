@@ -120,20 +120,18 @@ GROUP BY 1, 2""")
 
 # --- calls: conversations as nested call documents ---------------------------------
 
-#: Utterances per nested document; a longer conversation continues in the next part.
-PART_UTTERANCES = 1000
-
+# A conversation of any length is one call: one id, one set of attributes, one document, so ``part`` is always 0.
 view("turns_conv", """
 SELECT cast(conv_id AS VARCHAR) AS transcript_id, turn AS utterance_idx,
        CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'Customer' ELSE 'System' END AS speaker,
-       text AS utterance, (length(text) % 200 - 100) / 100.0::DOUBLE AS score, turn // 1000 AS part
+       text AS utterance, (length(text) % 200 - 100) / 100.0::DOUBLE AS score, 0 AS part
 FROM conversations""")
 view("spoken", "SELECT transcript_id, utterance_idx, speaker, utterance FROM turns_conv WHERE speaker <> 'System'")
 view("conv_calls", r"""
 SELECT transcript_id, part,
        CASE WHEN count(*) FILTER (speaker = 'System') > 0 THEN NULL ELSE 'Retail' END AS domain,
        arg_max(speaker, utterance_idx) AS intent,
-       substr(arg_min(utterance, utterance_idx) FILTER (speaker = 'Customer'), 1, 40) AS reason_for_call,
+       arg_min(utterance, utterance_idx) FILTER (speaker = 'Customer') AS reason_for_call,
        arg_min(utterance, utterance_idx) FILTER (speaker = 'Agent') AS call_summary,
        arg_max(utterance, utterance_idx) FILTER (speaker = 'Agent') AS outcome
 FROM turns_conv GROUP BY 1, 2""")
@@ -151,12 +149,12 @@ def turns_conv(spark, sf):
         speaker.alias("speaker"),
         F.col("text").alias("utterance"),
         ((F.length("text") % 200 - 100) / 100.0).alias("score"),
-        F.floor(F.col("turn") / PART_UTTERANCES).alias("part"),
+        F.lit(0).alias("part"),
     )
 
 
 def calls_conv(spark, sf):
-    """Nested calls; one document holds at most PART_UTTERANCES utterances."""
+    """Nested calls, each with all its utterances."""
     said = turns_conv(spark, sf)
     agent, customer = F.col("speaker") == "Agent", F.col("speaker") == "Customer"
     idx = F.col("utterance_idx")
@@ -177,7 +175,7 @@ def calls_conv(spark, sf):
     nested = said.groupBy("transcript_id", "part").agg(
         F.when(F.max((~spoken_part).cast("int")) > 0, F.lit(None)).otherwise(F.lit("Retail")).alias("domain"),
         F.max_by("speaker", idx).alias("intent"),
-        F.substring(F.min_by(F.when(customer, F.col("utterance")), F.when(customer, idx)), 1, 40).alias("reason_for_call"),
+        F.min_by(F.when(customer, F.col("utterance")), F.when(customer, idx)).alias("reason_for_call"),
         F.min_by(F.when(agent, F.col("utterance")), F.when(agent, idx)).alias("call_summary"),
         F.max_by(F.when(agent, F.col("utterance")), F.when(agent, idx)).alias("outcome"),
         ordered(turn).alias("turns"),
