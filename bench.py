@@ -21,7 +21,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from callweave.session import build_session
+    from callweave.session import build_session, remove_run
     from checks.all_checks import QUERIES
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -45,6 +45,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus),
     }))
+    remove_run(spark)
     spark.stop()
 
 

@@ -140,4 +140,4 @@ def transcript_lookup(calls: DataFrame, wanted: str) -> DataFrame:
 
 def sample_calls(df: DataFrame, n: int, id_column: str = "transcript_id", seed: int = 42) -> DataFrame:
     """A reproducible sample without replacement: the ``n`` smallest seeded hashes of the id."""
-    return df.orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")).cast("binary")), id_column).limit(n)

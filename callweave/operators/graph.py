@@ -30,16 +30,16 @@ def graph_records(calls: DataFrame) -> DataFrame:
 
 def adjacency(records: DataFrame) -> DataFrame:
     """One row per call with its distinct neighbours, from nested records."""
-    return adjacency_of_edges(record_edges(records))
+    return adjacency_of_edges(record_links(records))
 
 
 def adjacency_of_edges(edges: DataFrame) -> DataFrame:
-    """Adjacency rows ``(transcript_id, domains, reasons, drivers)`` from distinct edge rows.
+    """Adjacency rows ``(transcript_id, domains, reasons, drivers)`` from edge rows, repeats allowed.
 
-    Repeats are gone before lists are built, so a list holds graph labels, whose number
-    the taxonomy bounds, however often a call or driver occurs.
+    One aggregation drops repeats map-side and builds the lists, so a list holds graph labels, whose number the taxonomy
+    bounds, however often a call or driver occurs.
     """
-    linked = edges.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("edge", "target"))).alias("links"))
+    linked = edges.groupBy("transcript_id").agg(F.array_sort(F.collect_set(F.struct("edge", "target"))).alias("links"))
     pick = lambda edge: F.transform(
         F.filter("links", lambda x: x["edge"] == edge), lambda x: x["target"]
     )

@@ -20,7 +20,7 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
     plan = df._jdf.queryExecution().optimizedPlan()
     if any(node in plan.toString() for node in UNBOUNDED):
         return df
-    return F.broadcast(df) if int(plan.stats().sizeInBytes().toString()) <= max_bytes else df
+    return F.broadcast(df) if int(plan.stats().sizeInBytes()) <= max_bytes else df
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

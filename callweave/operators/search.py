@@ -5,62 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as vx
-from ..functions.text import word_rows, words
+from ..functions.text import word_rows
 from ..session import materialize
 from .joins import bounded_broadcast, top_k
 
-#: Query-matrix cells that a task receives at once.
-QUERY_CELL_LIMIT = 4_000_000
+#: Rows of a block and queries of a page: what one task holds of each.
+BLOCK_ROWS, PAGE_QUERIES = 20_000, 2_000
 
 
-def _scorer(query_ids, query_rows, k, threshold):
-    def score(batches):
-        import numpy as np
-        import pandas as pd
+def _blocked(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, n_rows: int, n_queries: int):
+    """Groups of rows by ``(block, page)`` and of queries by the same, for a cogroup in which both sides are bounded.
+
+    Rows are dealt to blocks and queries to pages by hash; every block meets every page once, in one task.
+    """
+    blocks, pages = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // PAGE_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.withColumn("_block", F.pmod(F.xxhash64(row_key), F.lit(blocks))).withColumn("_page", every(pages))
+    right = queries.withColumn("_page", F.pmod(F.xxhash64(query_key), F.lit(pages))).withColumn("_block", every(blocks))
+    return left.groupBy("_block", "_page").cogroup(right.groupBy("_block", "_page"))
 
-        queries = np.array(query_rows, dtype=float)
-        lengths = np.linalg.norm(queries, axis=1)
-        queries = queries / np.where(lengths == 0, 1.0, lengths)[:, None]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            matrix = np.vstack(pdf["vector"].to_numpy()).astype(float)
-            size = np.linalg.norm(matrix, axis=1)
-            sims = np.round((matrix / np.where(size == 0, 1.0, size)[:, None]) @ queries.T, 12)
-            ids = pdf["item_id"].to_numpy()
-            for q, query_id in enumerate(query_ids):
-                column = sims[:, q]
-                keep = np.arange(len(column)) if threshold is None else np.flatnonzero(column >= threshold)
-                if len(keep) > k:
-                    cut = np.partition(column[keep], len(keep) - k)[len(keep) - k]
-                    keep = keep[column[keep] >= cut]
-                keep = keep[np.lexsort((ids[keep], -column[keep]))][:k]
-                yield pd.DataFrame({"query_id": [query_id] * len(keep), "item_id": ids[keep], "score": column[keep]})
 
-    return score
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
     """Exact nearest vectors per query: ``(query_id, item_id, score, rank)``.
 
-    Every batch of vectors is multiplied with the query matrix and passes on its best
-    ``k`` per query, so neither all pairs nor the vectors are shuffled.  A query table
-    beyond the cell limit is worked off in slices, each within it.
+    A task multiplies a block of vectors with a page of queries and passes on its best ``k`` per query, so no task and
+    not the driver holds all of either, and no pair of the rest is shuffled.
     """
-    spark = vectors.sparkSession
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    slices = max(1, -(-int(size["n"] or 0) * int(size["d"] or 0) // QUERY_CELL_LIMIT))
-    id_type = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"query_id {id_type(queries, 'query_id')}, item_id {id_type(vectors, 'item_id')}, score double"
-    found = spark.createDataFrame([], schema)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    for number in range(slices):
-        rows = queries.filter(part == number).select("query_id", "vector").orderBy("query_id").collect()
-        if rows:
-            scorer = _scorer([r[0] for r in rows], [list(r[1]) for r in rows], k, threshold)
-            found = found.unionByName(vectors.select("item_id", "vector").mapInPandas(scorer, schema))
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+    def score(rows, asked):
+        import numpy as np
+        import pandas as pd
+
+        empty = pd.DataFrame({"query_id": asked["query_id"][:0], "item_id": rows["item_id"][:0], "score": np.zeros(0)})
+        if not len(rows) or not len(asked):
+            return empty
+        matrix, wanted = (np.vstack(x["vector"].to_numpy()).astype(float) for x in (rows, asked))
+        for m in (matrix, wanted):
+            size = np.linalg.norm(m, axis=1)
+            m /= np.where(size == 0, 1.0, size)[:, None]
+        ids, out = rows["item_id"].to_numpy(), []
+        for at in range(0, len(wanted), 64):
+            sims = np.round(wanted[at:at + 64] @ matrix.T, 12)
+            for q, line in enumerate(sims, at):
+                keep = np.arange(len(line)) if threshold is None else np.flatnonzero(line >= threshold)
+                if len(keep) > k:
+                    cut = np.partition(line[keep], len(keep) - k)[len(keep) - k]
+                    keep = keep[line[keep] >= cut]
+                keep = keep[np.lexsort((ids[keep], -line[keep]))][:k]
+                out.append((np.full(len(keep), q), keep, line[keep]))
+        at, keep, sims = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[at], "item_id": ids[keep], "score": sims})
+
+    queries = materialize(queries.select("query_id", "vector"), "queries")
+    rows = vectors.select("item_id", "vector")
+    schema = f"query_id {_type(queries, 'query_id')}, item_id {_type(vectors, 'item_id')}, score double"
+    pairs = _blocked(rows, "item_id", queries, "query_id", rows.select("item_id").count(), queries.count())
+    return top_k(pairs.applyInPandas(score, schema), ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
 # --- keyword search ----------------------------------------------------------------
@@ -96,24 +100,61 @@ def score_postings(counted: DataFrame, asked: DataFrame, n_docs: int, mean_lengt
     )
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 of every document that shares a term with a query.
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Best documents per query by BM25 among those that share a term with it.
 
-    Documents are narrowed to the queries' vocabulary by a size-checked broadcast before
-    anything is shuffled.  Their term counts are written once, as the index that the
-    document frequencies and the scores are both read from.
+    Each document's counts of the queries' terms are written once as one row, the index.  A task scores a block of
+    documents against a page of queries and passes on its best ``k`` per query, so a word that all documents share
+    costs a task some additions and no exchange a row.
     """
-    asked = query_terms(queries)
-    docs = docs.select("doc_id", "text")
+
+    def score(rows, asked):
+        import numpy as np
+        import pandas as pd
+
+        out = {"query_id": [], "doc_id": [], "score": []}
+        if len(rows) and len(asked):
+            terms = {t: i for i, t in enumerate(asked["term"].unique())}
+            wanted = asked["query_id"].unique()
+            weight = np.zeros((len(wanted), len(terms)))
+            place = {q: i for i, q in enumerate(wanted)}
+            weight[[place[q] for q in asked["query_id"]], [terms[t] for t in asked["term"]]] = asked["idf"]
+            at = [(d, terms[x["term"]], x["gain"]) for d, found in enumerate(rows["found"]) for x in found if x["term"] in terms]
+            ids = rows["doc_id"].to_numpy()
+            if at:
+                doc, term, gain = (np.array(x) for x in zip(*at))
+                first = np.searchsorted(doc, np.arange(len(ids) + 1))
+                for lo in range(0, len(ids), 512):
+                    hi = min(lo + 512, len(ids))
+                    part = slice(first[lo], first[hi])
+                    grid = np.zeros((hi - lo, len(terms)))
+                    grid[doc[part] - lo, term[part]] = gain[part]
+                    shared = (grid > 0).astype(np.float32) @ (weight > 0).astype(np.float32).T > 0
+                    scores = grid @ weight.T
+                    for q in np.flatnonzero(shared.any(axis=0)):
+                        keep = np.flatnonzero(shared[:, q])
+                        keep = keep[np.lexsort((ids[lo:hi][keep], -np.round(scores[keep, q], 9)))][:k]
+                        out["query_id"] += [wanted[q]] * len(keep)
+                        out["doc_id"] += ids[lo:hi][keep].tolist()
+                        out["score"] += scores[keep, q].tolist()
+        return pd.DataFrame(out)
+
+    asked = materialize(query_terms(queries), "asked")
     sizes = docs.agg(
         F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit(r"\p{L}+"))).alias("mean")
     ).first()
-    counted = materialize(postings(docs, asked), "postings")
-    return score_postings(counted, asked, sizes["n"] or 0, sizes["mean"] or 1.0, k1, b)
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(bm25_scores(docs, queries), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+    n_docs, mean = sizes["n"] or 0, float(sizes["mean"] or 1.0)
+    gain = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    counted = postings(docs.select("doc_id", "text"), asked)
+    index = materialize(
+        counted.groupBy("doc_id").agg(F.collect_list(F.struct("term", gain.alias("gain"))).alias("found")), "index")
+    idf = index.select(F.explode("found.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = materialize(asked.join(idf, "term"), "weighted")
+    schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(docs, 'doc_id')}, score double"
+    pages = asked.select("query_id").distinct().count()
+    pairs = _blocked(index, "doc_id", asked, "query_id", index.count(), pages)
+    return top_k(pairs.applyInPandas(score, schema), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
 
 
 def pair_bm25(
@@ -162,25 +203,16 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return top_k(fused, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
-def nearest_text_vectors(docs: DataFrame, dimensions: int = 256) -> DataFrame:
-    """Vectors for texts that come without any: hashed term weights of unit length."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    tokens = docs.select("item_id", "text").select("item_id", words(F.col("text")).alias("tokens"))
-    stages = [
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimensions),
-        IDF(inputCol="tf", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="unit"),
-    ]
-    return Pipeline(stages=stages).fit(tokens).transform(tokens).select(
-        "item_id", vector_to_array("unit").alias("vector")
-    )
+def text_vectors(docs: DataFrame) -> DataFrame:
+    """Vectors for texts that come without any, one row per component: ``(item_id, term, weight)``.
 
-
-def pair_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of given ``(a, b)`` id pairs by two equi-joins."""
-    left = vectors.select(F.col("item_id").alias("a"), F.col("vector").alias("va"))
-    right = vectors.select(F.col("item_id").alias("b"), F.col("vector").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("cosine", vx.cosine(F.col("va"), F.col("vb"))).drop("va", "vb")
+    Every word is a dimension of its own, weighted by count and rarity; a text's weights have unit length.  A text of
+    words that all texts have, or without words, has no component.
+    """
+    counts = materialize(word_rows(docs.select("item_id", "text"), ["item_id"]).groupBy("item_id", "term").agg(
+        F.count("*").alias("tf")), "counts")
+    n = docs.count()
+    rarity = counts.groupBy("term").agg(F.log((F.lit(n) + 1.0) / (F.count("*") + 1.0)).alias("rarity"))
+    weighted = materialize(counts.join(rarity, "term").select("item_id", "term", (F.col("tf") * F.col("rarity")).alias("weight")), "weights")
+    lengths = weighted.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")).filter("length > 0")
+    return weighted.filter("weight > 0").join(lengths, "item_id").select("item_id", "term", (F.col("weight") / F.col("length")).alias("weight"))

@@ -132,7 +132,7 @@ def graph_retrieve(adjacency: DataFrame, questions: DataFrame, pruned: DataFrame
     """
     candidates = stored_candidates(driver_overlap(adjacency, questions, pruned))
     counts = bounded_broadcast(candidates.groupBy("query_id").agg(F.count("*").alias("retrieved_count")))
-    ranked = bounded_broadcast(ppr_top(ppr_scores(candidates, stored=True), k).drop("overlap"))
+    ranked = materialize(ppr_top(ppr_scores(candidates, stored=True), k).drop("overlap"), "ranked")
     return candidates.join(ranked, ["query_id", "transcript_id"]).join(counts, "query_id").select(
         "query_id", "rank", "transcript_id", F.round("ppr_score", 6).alias("ppr_score"),
         F.get(neighbours_of("Domain"), F.lit(0)).alias("domain"),

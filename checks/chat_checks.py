@@ -175,7 +175,7 @@ def single_call_questions(spark, sf):
                       F.size("Intents").cast("long").alias("intents"), "difficulty", "hop")
 
 
-@check("sample_calls")
+@check("sample_calls", "SELECT * FROM calls_star ORDER BY md5('42:' || transcript_id), transcript_id LIMIT 1000")
 def sample_calls(spark, sf):
     return dialogue.sample_calls(v.calls_star(spark, sf), 1000)
 
@@ -192,7 +192,7 @@ UNION ALL SELECT l2_id, 'intent', position, h.pair_index, h.keyword FROM call_me
 SELECT i.l2_id AS cluster_id, i.list, i.page, count(*) AS n, md5(string_agg(i.value, '|' ORDER BY i.position, i.place, i.value)) AS items,
        any_value(c.name) AS question, any_value(c.parent_id) AS expected_answer
 FROM (SELECT *, (row_number() OVER (PARTITION BY l2_id, list ORDER BY position, place, value) - 1) // 1000 AS page FROM member_items) i
-JOIN l2_named c ON c.id = i.l2_id WHERE c.name LIKE 'Topic%' GROUP BY 1, 2, 3""")
+JOIN l2_named c ON c.id = i.l2_id WHERE c.name LIKE 'Topic%' AND c.id IN (SELECT id FROM l2_clusters_vec ORDER BY pos LIMIT 30) GROUP BY 1, 2, 3""")
 def multi_call_questions(spark, sf):
     l2 = materialize(l2_named(spark, sf).join(v.l2_clusters_vec(spark, sf).select("id", "pos"), "id").select(
         F.col("id").alias("cluster_id"), "pos", "name", "parent_id"), "l2")
@@ -207,7 +207,7 @@ def multi_call_questions(spark, sf):
         "transcript_id", F.col("pair_index").alias("place"), "keyword")
     lists = questions.cluster_lists(
         members, calls.select("transcript_id", "domain", F.concat("outcome", F.lit(" ")).alias("summary")), keywords)
-    out = questions.multi_call_questions(l2, lists, generations, 130)
+    out = questions.multi_call_questions(l2, lists, generations, 30)
     return out.select("cluster_id", "list", "page", F.size("items").cast("long").alias("n"),
                       F.md5(F.array_join("items", "|").cast("binary")).alias("items"),
                       F.col("Question").alias("question"), "expected_answer")

@@ -186,10 +186,15 @@ def l1_clusters(spark, sf):
     return ward.cluster_vectors(rows, clusters.N_L1)
 
 
-@check("text_vectors")
+@check("text_vectors", r"""
+WITH words AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
+tf AS (SELECT item_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+rarity AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1)) AS r FROM tf GROUP BY 1),
+w AS (SELECT item_id, term, tf * r AS w FROM tf JOIN rarity USING (term))
+SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM w WHERE w > 0""")
 def text_vectors(spark, sf):
     docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return search.nearest_text_vectors(docs).select("item_id", F.round(vx.norm(F.col("vector")), 6).alias("length"))
+    return search.text_vectors(docs).withColumn("weight", F.round("weight", 6))
 
 
 @check("cosine_topk", """

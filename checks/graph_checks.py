@@ -18,7 +18,7 @@ def edges_star(spark, sf):
 
 
 def adjacency_star(spark, sf):
-    return graph.adjacency_of_edges(graph.table_edges(v.calls_star(spark, sf), v.driver_hits(spark, sf)))
+    return graph.adjacency_of_edges(graph.table_links(v.calls_star(spark, sf), v.driver_hits(spark, sf)))
 
 
 def questions_star(spark, sf):

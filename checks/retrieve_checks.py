@@ -116,7 +116,7 @@ def hop_rows(spark, sf):
     matched = taxonomy.match_intents(
         hops.select("query_id", F.col("sub_query").alias("text")), labels.withColumn("kind", F.lit("content")), threshold=1.0)
     drivers = graph.normalize_drivers(matched)
-    edges = graph.table_edges(v.calls_star(spark, sf), hits)
+    edges = graph.table_links(v.calls_star(spark, sf), hits)
     none = drivers.select("query_id").limit(0).withColumn("domain", F.lit(""))
     found = retrieve.graph_retrieve(graph.adjacency_of_edges(edges), graph.question_table(drivers, none))
     return hops, found.join(hops.select("query_id", "request_id", "hop_id"), "query_id")

@@ -112,9 +112,10 @@ FROM question_labels WHERE label IN (SELECT label FROM star_taxonomy WHERE kind
 view("unmasked_candidates", """
 SELECT q.query_id, e.transcript_id, count(*) AS overlap
 FROM call_edges e JOIN question_drivers q ON e.edge = 'HAS_DRIVER' AND e.target = q.driver
-WHERE NOT EXISTS (SELECT 1 FROM question_domains d WHERE d.query_id = q.query_id)
-   OR EXISTS (SELECT 1 FROM question_domains d JOIN call_edges x ON x.edge = 'IN_DOMAIN' AND x.target = d.domain
-              WHERE d.query_id = q.query_id AND x.transcript_id = e.transcript_id)
+LEFT JOIN (SELECT DISTINCT query_id FROM question_domains) m ON m.query_id = q.query_id
+LEFT JOIN (SELECT DISTINCT d.query_id, x.transcript_id FROM question_domains d JOIN call_edges x ON x.edge = 'IN_DOMAIN' AND x.target = d.domain) a
+  ON a.query_id = q.query_id AND a.transcript_id = e.transcript_id
+WHERE m.query_id IS NULL OR a.transcript_id IS NOT NULL
 GROUP BY 1, 2""")
 
 

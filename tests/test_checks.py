@@ -3,17 +3,19 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import all_checks
 from checks.compare import duck, rows_of
 
 SF = "/root/testdata/sf0.001"
-#: Seeded samples, iterative clustering, hashed vectors and alignments have no SQL twin.
-ROWS_ONLY = {"sample_calls", "l2_clusters", "l1_clusters", "text_vectors", "rouge_l"}
+#: Iterative clustering and alignments have no SQL twin.
+ROWS_ONLY = {"l2_clusters", "l1_clusters", "rouge_l", "eval_report_rouge_l"}
 SAMPLE = ["graph_edges", "ppr_rank", "dialogue_pairs", "call_string", "bm25_topk", "mmr_select", "cluster_breakdown",
           "retrieval_metrics", "bleu", "chat_threads", "multi_call_questions", "parse_list_cell", "stream_chat_updates"]
 
 
 def test_every_query_is_covered():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(all_checks.QUERIES) - set(all_checks.oracle()) == ROWS_ONLY
+    assert set(all_checks.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
