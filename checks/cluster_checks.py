@@ -180,6 +180,14 @@ def l2_clusters(spark, sf):
     return ward.cluster_vectors(rows, clusters.N_L2)
 
 
+@check("l2_clusters_rounds")
+def l2_clusters_rounds(spark, sf):
+    """The same clusters, with all but the last merges found in rounds over the executors."""
+    rows = v.table(spark, sf, "embeddings").select(
+        F.lit("keywords").alias("field"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return ward.cluster_vectors(rows, clusters.N_L2, local=300)
+
+
 @check("l1_clusters")
 def l1_clusters(spark, sf):
     rows = v.l2_clusters_vec(spark, sf).select("field", F.col("id").alias("item_id"), F.col("embedding").alias("vector"))

@@ -74,23 +74,33 @@ def parts(rows):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_ward_is_exact_on_bounded_input(spark):
-    points = np.random.default_rng(5).normal(size=(40, 3))
-    assert parts(ward.cluster_vectors(vector_rows(spark, points), 6).collect()) == brute_ward(points, 6)
-
-
-def test_ward_over_micro_clusters_finds_separate_groups(spark):
-    rng = np.random.default_rng(6)
-    points = np.vstack([rng.normal(loc=c, scale=0.05, size=(60, 2)) for c in ((0, 0), (5, 0), (0, 5))])
-    found = parts(ward.cluster_vectors(vector_rows(spark, points), 3, max_points=30).collect())
-    assert found == {frozenset(range(i * 60, i * 60 + 60)) for i in range(3)}
+@pytest.mark.parametrize("local,block", [(2000, 4000), (9, 7), (2, 4000)])
+def test_ward_is_exact_at_every_size(spark, local, block):
+    rng = np.random.default_rng(5)
+    points, other = rng.normal(size=(40, 3)), rng.normal(size=(13, 3))
+    rows = vector_rows(spark, points).unionByName(vector_rows(spark, other).replace("f", "g", "field"))
+    found = ward.cluster_vectors(rows, 6, local, block).collect()
+    assert parts(r for r in found if r.field == "f") == brute_ward(points, 6)
+    assert parts(r for r in found if r.field == "g") == brute_ward(other, 6)
+    first = {}
+    for r in sorted(found, key=lambda r: r.item_id):
+        first.setdefault((r.field, r.label), r.item_id)
+    assert all(first["f", n] < first["f", n + 1] for n in range(5))
+
+
+def test_ward_of_few_and_equal_points(spark):
+    points = np.array([[0.0, 0.0]] * 5 + [[3.0, 0.0]] * 5)
+    for local in (2000, 2):
+        assert parts(ward.cluster_vectors(vector_rows(spark, points), 2, local).collect()) == {frozenset(range(5)), frozenset(range(5, 10))}
+        assert len(parts(ward.cluster_vectors(vector_rows(spark, points[:3]), 5, local).collect())) == 3
 
 
 def test_cosine_topk_in_slices(spark, monkeypatch):
     rng = np.random.default_rng(8)
     items, queries = rng.normal(size=(50, 4)), rng.normal(size=(6, 4))
     items[3] = 0
-    monkeypatch.setattr(search, "QUERY_CELL_LIMIT", 8)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(search, "PAGE_QUERIES", 2)
     frame = lambda rows, name: spark.createDataFrame(
         [(i, [float(x) for x in r]) for i, r in enumerate(rows)], f"{name} long, vector array<double>")
     out = search.cosine_topk(frame(items, "item_id"), frame(queries, "query_id"), 4, 0.1).collect()
