@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +54,11 @@ def release(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def chunks(rows: Iterable[tuple], limit: int, size=lambda row: len(row[-1])) -> Iterator[list[tuple]]:
-    """Consecutive rows in lists of about ``limit`` bytes, so that work arrays stay bounded."""
-    held, total = [], 0
-    for row in rows:
-        held.append(row)
-        total += size(row)
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that the Python objects made of a batch stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -57,7 +57,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_training_order")
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ORDER_KEY)
-    return records.select("slot", "shard", "doc_id", "piece", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return records.select("slot", "shard", "place", "doc_id", "piece", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query("op3_exact_dedup", """

@@ -1,14 +1,16 @@
 """Training-order materialisation: every sequence gets a global slot and is written to its place in fixed-stride shards.
 
-A keyed Feistel network permutes the numbers 0 .. n - 1; numbers it sends beyond n walk on until they come back.  So a
-slot needs no sort, no state and no lookup, and the reverse direction names the sequence of any slot.  Sequences are
-numbered in scan order: one pass counts the sequences of each input split, a second knows its first number.  Slots
-are dealt to shards of equal ranges; records of a shard are written in order of their slots.
-
-A shard is a file of records of one stride: header (doc_id, piece, number of ids), ids as unsigned 16-bit numbers padded
-with zeros, and a line feed, since Spark's text writer writes them (it passes bytes through and commits a task's
-file or nothing, so a lost executor leaves no half shard).  A reader finds slot s at record ``s % per_shard`` of shard
-``s // per_shard`` and may start at any slot.
+A keyed Feistel network permutes the numbers 0 .. m - 1; numbers it sends beyond m walk on until they come back.  So the
+place of a sequence needs no sort, no state and no lookup.  Numbers are given in scan order: each input split owns a
+range as long as its texts could need at most (a look at their lengths tells), so texts are encoded once, and numbers
+that no sequence takes leave gaps that the permutation spreads evenly.  Places are dealt to shards by equal ranges, and a
+shard holds its records in order of their places.  Slots count the records through all shards: a shard's first slot is
+the number of records in the shards before it, which the sizes of the files tell.
+
+A shard is a file of records of one stride: header (place, doc_id, piece, number of ids), ids as unsigned 16-bit numbers
+padded with zeros, and a line feed, since Spark's text writer writes them (it passes bytes through and commits a task's
+file or nothing, so a lost executor leaves no half shard).  A reader finds slot s of a shard at record ``s - first`` and
+may start at any slot.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from .common import sliced
 from .word_tokens import encoder
 
-#: Ids of a sequence, records of a shard (about 34 MB), rounds of the network.
-LENGTH, PER_SHARD, ROUNDS = 512, 1 << 15, 8
+#: Ids of a sequence, records of a shard (about 8.5 MB; a task reads shards whole), rounds of the network.
+LENGTH, PER_SHARD, ROUNDS = 512, 1 << 13, 8
+#: Ids that one byte of text can make at most: normal forms and lower case may lengthen a text.
+IDS_PER_BYTE = 4
 NO_ID = np.iinfo(np.int64).min
 
 
 def record_type(length: int) -> np.dtype:
-    return np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4"), ("ids", "<u2", (length,)), ("end", "u1")])
+    return np.dtype([("place", "<i8"), ("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4"), ("ids", "<u2", (length,)), ("end", "u1")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,110 +62,125 @@ def slots(numbers: np.ndarray, n: int, key: int, backwards: bool = False) -> np.
     return out.astype(np.int64)
 
 
-def _count(batches, path: str, length: int):
-    encode, total = encoder(path).encode, 0
-    for batch in batches:
-        total += sum(-(-len(encode(t or "")) // 4 // length) or 1 for t in batch.column(1).to_pylist())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], ["task", "n"]
-    )
-
-
-def _records(batches, path: str, length: int, firsts: dict, n: int, key: int, per_shard: int):
-    encode, (number, end), kind = encoder(path).encode, firsts[TaskContext.get().partitionId()], record_type(length)
-    for batch in batches:
-        ids_of = [np.frombuffer(encode(t or ""), "<u4") for t in batch.column(1).to_pylist()]
-        counts = np.array([-(-len(x) // length) or 1 for x in ids_of], np.int64)
-        for at in range(0, len(ids_of), 256):
-            # A few texts at a time: the records of a batch of long texts would be many copies of it.
-            for lo, hi in _bounded(counts[at:at + 256], at):
-                out = np.zeros(int(counts[lo:hi].sum()), kind)
-                out["end"] = 10
-                k = 0
-                for row in range(lo, hi):
-                    doc_id = batch.column(0)[row].as_py()
-                    for piece in range(counts[row]):
-                        part = ids_of[row][piece * length:(piece + 1) * length]
-                        out[k]["doc_id"], out[k]["piece"], out[k]["n"] = NO_ID if doc_id is None else doc_id, piece, len(part)
-                        out[k]["ids"][:len(part)] = part
-                        k += 1
-                place = slots(np.arange(number, number + k), n, key)
-                number += k
-                raw, stride = out.tobytes(), kind.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((place // per_shard).astype(np.int32)), pa.array(place),
-                     pa.array([raw[i:i + stride - 1] for i in range(0, len(raw), stride)], pa.binary())],
-                    ["shard", "slot", "record"],
-                )
-    if number != end:
-        raise RuntimeError("the second pass saw other input splits than the first")
-
-
-def _bounded(counts: np.ndarray, base: int, limit: int = 8192):
-    lo, held = 0, 0
-    for i, c in enumerate(counts.tolist()):
-        if held and held + c > limit:
-            yield base + lo, base + i
-            lo, held = i, 0
-        held += c
+def _records(batches, path: str, length: int, ranges: dict, m: int, key: int, shards: int):
+    encode, kind = encoder(path).encode, record_type(length)
+    number, end = ranges[TaskContext.get().partitionId()]
+    for batch in sliced(batches, 256):
+        # A few texts at a time: the records of many long texts would be copies of all of them.
+        for lo, ids_of in _bounded(map(encode, (t or "" for t in batch.column(1).to_pylist()))):
+            counts = [-(-len(x) // 4 // length) or 1 for x in ids_of]
+            out = np.zeros(sum(counts), kind)
+            out["end"] = 10
+            out["place"] = slots(np.arange(number, number + len(out)), m, key)
+            number += len(out)
+            k = 0
+            for row, (ids, count) in enumerate(zip(ids_of, counts), lo):
+                doc_id, values = batch.column(0)[row].as_py(), np.frombuffer(ids, "<u4")
+                out["doc_id"][k:k + count] = NO_ID if doc_id is None else doc_id
+                out["piece"][k:k + count] = np.arange(count)
+                for at in range(0, len(values), length):
+                    part = values[at:at + length]
+                    out["n"][k + at // length] = len(part)
+                    out["ids"][k + at // length, :len(part)] = part
+                k += count
+            raw, stride = out.tobytes(), kind.itemsize
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((out["place"] // -(-m // shards)).astype(np.int32)), pa.array(out["place"].copy()),
+                 pa.array([raw[i:i + stride - 1] for i in range(0, len(raw), stride)], pa.binary())],
+                ["shard", "place", "record"],
+            )
+    if number > end:
+        raise RuntimeError("an input split has more sequences than its texts can make, or splits changed")
+
+
+def _bounded(encoded, limit: int = 1 << 22):
+    """Lists of encoded texts of about ``limit`` bytes, with the row of the first."""
+    held, size, first = [], 0, 0
+    for row, ids in enumerate(encoded):
+        held.append(ids)
+        size += len(ids)
+        if size >= limit:
+            yield first, held
+            held, size, first = [], 0, row + 1
     if held:
-        yield base + lo, base + len(counts)
+        yield first, held
 
 
 def write_shards(
     docs: DataFrame, tokenizer: str, path: str, key: int, id_col: str = "doc_id", text_col: str = "text",
     length: int = LENGTH, per_shard: int = PER_SHARD,
-) -> int:
-    """Write the shards below ``path`` (``shard=<number>/``) and return the number of sequences.
+) -> None:
+    """Write the shards below ``path``: ``shard=<number>/``, about ``per_shard`` records each.
 
     A sequence is up to ``length`` consecutive ids of one document; an empty or null text is one sequence of no ids.
     Null document ids are written as the smallest 64-bit number.  Repeated rows are sequences of their own.  An empty
     table writes no shard.  The tokenizer must have fewer than 65,536 ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # One number per input split comes to the driver, never one per row.
-    counted = sorted(tuple(r) for r in rows.mapInArrow(lambda b: _count(b, tokenizer, length), "task int, n long").collect())
-    firsts, n = {}, 0
-    for task, size in counted:
-        firsts[task] = (n, n + size)
-        n += size
-    if not n:
-        return 0
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # Two numbers per input split come to the driver, never one per row.
+    splits = rows.select(F.spark_partition_id().alias("task"), size.alias("size")).groupBy("task").agg(
+        F.sum(F.floor(F.col("size") * IDS_PER_BYTE / length) + 1).alias("most"),
+        F.sum(F.floor(F.col("size") / (3 * length)) + 1).alias("likely"),
+    ).collect()
+    ranges, m = {}, 0
+    for task, most, _ in sorted(tuple(r) for r in splits):
+        ranges[task] = (m, m + most)
+        m += most
+    if not m:
+        return
+    shards = max(1, round(sum(r["likely"] for r in splits) / per_shard))
     records = rows.mapInArrow(
-        lambda b: _records(b, tokenizer, length, firsts, n, key, per_shard), "shard int, slot long, record binary"
+        lambda b: _records(b, tokenizer, length, ranges, m, key, shards), "shard int, place long, record binary"
     )
-    dealt = records.repartitionById(-(-n // per_shard), F.col("shard")).sortWithinPartitions("shard", "slot")
+    dealt = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
-    return n
 
 
-def _parse(batches, length: int, per_shard: int, first: int, end: int):
+def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """Shard, first slot and number of records, from the sizes of the files; a row per shard, none per record."""
+    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return []
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    found = sorted((int(r["path"].rsplit("shard=", 1)[1].split("/")[0]), r["length"]) for r in files.collect())
+    out, first = [], 0
+    for shard, size in found:
+        n = size // record_type(length).itemsize
+        out.append((shard, first, n))
+        first += n
+    return out
+
+
+def _parse(batches, length: int, firsts: dict, first: int, end: int):
     kind = record_type(length)
-    for batch in batches:
-        for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            records = np.frombuffer(content.as_py(), kind)
-            lo, hi = max(0, first - shard * per_shard), min(len(records), end - shard * per_shard)
-            for at in range(lo, hi, 4096):
-                part = records[at:min(at + 4096, hi)]
-                doc_ids = pa.array(part["doc_id"], mask=part["doc_id"] == NO_ID)
-                ids = [row[:k].tobytes() for row, k in zip(part["ids"], part["n"].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + len(part)) + shard * per_shard), pa.array([shard] * len(part), pa.int32()),
-                     doc_ids, pa.array(part["piece"].astype(np.int32)), pa.array(part["n"].astype(np.int32)), pa.array(ids, pa.binary())],
-                    ["slot", "shard", "doc_id", "piece", "n_tokens", "ids"],
-                )
-
-
-def read_shards(
-    spark: SparkSession, path: str, n: int, first: int = 0, end: int | None = None, length: int = LENGTH, per_shard: int = PER_SHARD
-) -> DataFrame:
-    """Records of the slots from ``first`` to before ``end``: ``slot``, ``shard``, ``doc_id``, ``piece``, ``n_tokens``, ``ids``."""
-    schema = "slot long, shard int, doc_id long, piece int, n_tokens int, ids binary"
-    end = n if end is None else min(end, n)
-    if first >= end:
+    for batch in sliced(batches, 1):
+        shard = batch.column(0)[0].as_py()
+        records, base = np.frombuffer(batch.column(1)[0].as_buffer(), kind), firsts[shard]
+        lo, hi = max(0, first - base), min(len(records), end - base)
+        for at in range(lo, hi, 4096):
+            part = records[at:min(at + 4096, hi)]
+            doc_ids = pa.array(part["doc_id"].copy(), mask=part["doc_id"] == NO_ID)
+            ids = [row[:k].tobytes() for row, k in zip(part["ids"], part["n"].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at, at + len(part)) + base), pa.array([shard] * len(part), pa.int32()), pa.array(part["place"].copy()),
+                 doc_ids, pa.array(part["piece"].astype(np.int32)), pa.array(part["n"].astype(np.int32)), pa.array(ids, pa.binary())],
+                ["slot", "shard", "place", "doc_id", "piece", "n_tokens", "ids"],
+            )
+
+
+def read_shards(spark: SparkSession, path: str, first: int = 0, end: int | None = None, length: int = LENGTH) -> DataFrame:
+    """Records of the slots from ``first`` to before ``end``: ``slot``, ``shard``, ``place``, ``doc_id``, ``piece``, ``n_tokens``, ``ids``.
+
+    Only the shards of these slots are read.
+    """
+    schema = "slot long, shard int, place long, doc_id long, piece int, n_tokens int, ids binary"
+    known = manifest(spark, path, length)
+    end = sum(n for _, _, n in known) if end is None else end
+    wanted = {shard: at for shard, at, n in known if at < end and at + n > first}
+    if not wanted:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(path).filter(F.col("shard").between(first // per_shard, (end - 1) // per_shard))
-    return files.select(F.col("shard").cast("int"), "content").mapInArrow(lambda b: _parse(b, length, per_shard, first, end), schema)
+    files = spark.read.format("binaryFile").load(path).filter(F.col("shard").between(min(wanted), max(wanted)))
+    return files.select(F.col("shard").cast("int"), "content").mapInArrow(lambda b: _parse(b, length, wanted, first, end), schema)
 
 
 def training_order(
@@ -169,5 +189,5 @@ def training_order(
     """``write_shards`` to a new folder below the shared one, read back whole."""
     spark = docs.sparkSession
     path = fresh_path(spark, "llm-shards")
-    n = write_shards(docs, tokenizer, path, key, id_col, text_col, length, per_shard)
-    return read_shards(spark, path, n, length=length, per_shard=per_shard)
+    write_shards(docs, tokenizer, path, key, id_col, text_col, length, per_shard)
+    return read_shards(spark, path, length=length)

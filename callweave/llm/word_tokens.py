@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words held by one worker; the table is emptied beyond it.
-HELD = 1 << 20
+#: Words and pieces that a worker's tables hold.  Full tables take nothing new: what is frequent came early.
+WORDS, PARTS = 1 << 19, 1 << 19
 #: Characters below U+0180 without U+0130: composed already, and lower-cased one by one.
 LATIN = re.compile("[\0-įı-ſ]*").fullmatch
 #: Fixed value: the split pattern of the tokenizer file.
@@ -31,45 +30,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder(dict):
+class Held(dict):
+    """Computed values, kept up to a limit."""
+
+    def __init__(self, limit: int, compute):
+        super().__init__()
+        self.limit, self.compute = limit, compute
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(self) < self.limit:
+            self[key] = value
+        return value
+
+
+class WordEncoder:
     """Word to its ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= HELD:
-            self.clear()
-        value = self[word] = self._word(word)
-        return value
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.parts = Held(PARTS, self._part)
+        self.words = Held(WORDS, self._word)
 
     def _word(self, word: str) -> bytes:
-        if not LATIN(word) or "<|" in word:  # special tokens are written so
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         low = word.lower()
-        if low.isalpha():
-            return self._piece(low)
-        if low[:-1].isalpha():
-            return self._piece(low[:-1]) + self._piece(low[-1])
-        return b"".join(map(self._piece, PIECES(low)))
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= HELD // 2:
-                self.pieces.clear()
-            spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+        if low.isascii() or LATIN(word):
+            if low.isalpha():
+                return self.parts[word if word == low else low]  # one string for both tables
+            if low[:-1].isalpha():
+                return self.parts[low[:-1]] + self.parts[low[-1]]
+            if "<|" not in low:  # special tokens are written so
+                return b"".join(map(self.parts.__getitem__, PIECES(low)))
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
+
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(spelled)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
         words = SPACES(text) if SEPARATORS(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -149,21 +149,23 @@ def test_training_order_round_trip(spark, tmp_path):
     rows, whole, length = odd_rows(6), Tokenizer.from_file(WORDS), 8
     docs = frame(spark, rows).repartition(3)
     path = str(tmp_path / "shards")
-    n = training_order.write_shards(docs, WORDS, path, key=11, length=length, per_shard=50)
+    training_order.write_shards(docs, WORDS, path, key=11, length=length, per_shard=50)
     want = Counter()
     for d, t in rows:
         ids = whole.encode(t or "", add_special_tokens=False).ids
         for piece in range(-(-len(ids) // length) or 1):
             want[d, piece, np.array(ids[piece * length:(piece + 1) * length], "<u2").tobytes()] += 1
-    read = lambda *a: training_order.read_shards(spark, path, n, *a, length=length, per_shard=50).collect()
-    got = read()
+    n = want.total()
+    read = lambda *a: training_order.read_shards(spark, path, *a, length=length).collect()
+    got = sorted(read(), key=lambda r: r.slot)
     assert Counter((r.doc_id, r.piece, bytes(r.ids)) for r in got) == want
-    assert sorted(r.slot for r in got) == list(range(n)) and all(r.shard == r.slot // 50 for r in got)
-    assert sorted(r.slot for r in read(60, 130)) == list(range(60, 130))
+    assert [r.slot for r in got] == list(range(n))
+    assert all(a.place < b.place and a.shard <= b.shard for a, b in zip(got, got[1:]))  # slots follow the permuted places
+    assert sorted(map(tuple, read(60, 130))) == sorted(map(tuple, got[60:130]))
     stride = training_order.record_type(length).itemsize
-    for shard in range(-(-n // 50)):
+    for shard, first, count in training_order.manifest(spark, path, length):
         files = list((tmp_path / "shards" / f"shard={shard}").glob("part-*"))
-        assert len(files) == 1 and files[0].stat().st_size == stride * min(50, n - shard * 50)
+        assert len(files) == 1 and files[0].stat().st_size == stride * count and got[first].shard == shard
     assert training_order.training_order(docs.limit(0), WORDS, key=1).collect() == []
 
 
