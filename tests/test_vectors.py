@@ -115,7 +115,7 @@ def test_bm25_by_hand(spark):
     texts = {1: "red apple red", 2: "green apple", 3: "blue sky over red hills", 4: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     queries = spark.createDataFrame([(9, "Red APPLE!")], "query_id long, text string")
-    out = {r.doc_id: r.score for r in search.bm25_scores(docs, queries).collect()}
+    out = {r.doc_id: r.score for r in search.bm25_topk(docs, queries).collect()}
     words = {d: t.split() for d, t in texts.items()}
     mean = sum(map(len, words.values())) / 4
     want = {}
