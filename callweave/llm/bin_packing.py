@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 from .word_tokens import encoder
 
 PLAN_SCHEMA = "length long, first_rank long, end_rank long, copies long, first_bin long, at long"
@@ -91,7 +91,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def _pieces(batches, path: str, capacity: int, end_id: int, with_ids: bool):
     encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
     seen, task, width = [0] * (capacity + 1), TaskContext.get().partitionId(), 4 * capacity
-    for batch in batches:
+    for batch in sliced(batches):
         rows, out = [], {k: [] for k in ("piece", "start", "length", "crc", "nth", "ids")}
         for row, text in enumerate(batch.column(1).to_pylist()):
             ids = encode(text or "") + end

@@ -19,8 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Pre-tokens held by one worker; the table is emptied beyond it.
-HELD = 1 << 20
+HELD = 3 << 18
 #: Fixed value: the split pattern for which ``LATIN_SPLIT`` is the same thing on texts below U+0180.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = re.compile("[\0-ſ]*").fullmatch
@@ -143,7 +145,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [own.encode(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -159,7 +161,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, columns: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(len(columns))
             out = [None if x is None else own.decode(x) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(

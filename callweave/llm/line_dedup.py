@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, release, same_row, stored, with_extra
+from .common import keyed, release, same_row, sliced, stored, with_extra
 
 #: Consecutive lines of a window.
 WINDOW = 3
@@ -24,7 +24,7 @@ WINDOW = 3
 def _windows(batches, width: int):
     """Two 64-bit hashes of every window of whole lines, and the number of its first line."""
     hash_a, hash_b = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in sliced(batches):
         rows, lines_at, a, b = [], [], [], []
         for row, value in enumerate(batch.column(1).cast(pa.binary())):
             text = value.as_py()
@@ -50,7 +50,7 @@ def _windows(batches, width: int):
 
 
 def _without(batches, width: int):
-    for batch in batches:
+    for batch in sliced(batches):
         kept, n_lines, removed = [], [], []
         texts = batch.column(1).to_pylist()
         for text, firsts in zip(texts, batch.column(2).to_pylist()):

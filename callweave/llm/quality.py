@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Rows the scorer is fitted on, in expectation; its hashed features; passes of both fits.
 SAMPLE, FEATURES, ROUNDS = 10_000, 1 << 10, 200
 #: Most of the votes of a labeller on good texts that may be bad: labellers are written to fire rarely, and without a bound
@@ -175,12 +177,12 @@ def _read(text: str | None) -> tuple[Traits, np.ndarray]:
 
 
 def _patterns(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_arrays([pa.array([votes(_read(t)[0]) for t in batch.column(0).to_pylist()], pa.int32())], ["code"])
 
 
 def _examples(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         codes, rows = [], []
         for text in batch.column(0).to_pylist():
             t, classes = _read(text)
@@ -217,7 +219,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [_score(model, t) for t in batch.column(1).to_pylist()]
             chances = label_chances(np.array([c for c, _ in out], np.int64), model.table, model.prior)
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +236,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [not (t or "").strip() or _score(model, t)[1] >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

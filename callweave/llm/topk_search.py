@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 #: Vectors of a block, blocks of a group, queries of a group.
 BLOCK, GROUP, QUERIES = 512, 16, 4096
@@ -24,7 +24,7 @@ SCALE = 256
 
 
 def _quantised(batches, scale: int):
-    for batch in batches:
+    for batch in sliced(batches):
         ids, vectors = [], []
         for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if vec_id is None or vector is None or None in vector:
