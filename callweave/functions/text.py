@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters that generated text is cleaned of.
-INVISIBLE = "[​‌‍﻿]"
+INVISIBLE = "[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]"
 LEADING_BULLET = "^[•●◦▪▫➤►➡✦—–-]\\s*"
 EMOJI = (
     "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}"
@@ -206,5 +206,5 @@ def cluster_id(field: Column, level: str, number: Column) -> Column:
 
 
 def cluster_name(name: Column, field: Column, level: str, number: Column) -> Column:
-    """The given name, or the numbered fallback when labelling produced none."""
+    """The given name, or the numbered fallback (fixed value) when labelling produced none."""
     return F.coalesce(name, F.concat(field, F.lit(f" {level} Group "), number.cast("string")))

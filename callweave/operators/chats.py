@@ -13,7 +13,6 @@ from .scan import pages
 ROLES = ["user", "assistant"]
 MAX_HISTORY_MESSAGES = 10
 LAST_USER_QUERIES = 3
-NEW_CHAT = "New Chat"
 #: Messages that one thread row holds.
 THREAD_MESSAGES = 1000
 

@@ -17,7 +17,6 @@ REPRESENTATIVES, REPRESENTATIVE_LAMBDA = 20, 0.6
 CENTROID_WEIGHT, NAME_WEIGHT, DESCRIPTION_WEIGHT = 1.0, 0.5, 0.5
 NO_DESCRIPTION = "General grouping"
 REPRESENTATIVE_SEPARATOR = "\n---\n"
-FIELDS = ["summary", "reason_for_call", "keywords", "outcome"]
 
 
 def centroids(members: DataFrame, keys: list[str]) -> DataFrame:

@@ -142,11 +142,6 @@ def graph_retrieve(adjacency: DataFrame, questions: DataFrame, pruned: DataFrame
     )
 
 
-def attach_calls(ranked: DataFrame, calls: DataFrame) -> DataFrame:
-    """Columns of the ranked calls from any call table; the ranked side is the small one."""
-    return calls.join(bounded_broadcast(ranked), "transcript_id")
-
-
 def rerank_by_text(retrieved: DataFrame, utterances: DataFrame, queries: DataFrame, final_k: int = 10) -> DataFrame:
     """Second-stage order of retrieved calls by the text they share with the question.
 
@@ -176,7 +171,7 @@ def answer_context(retrieved: DataFrame, questions: DataFrame, columns: list[str
     )
     found = retrieved.groupBy("query_id").agg(F.to_json(rows).alias("evidence"))
     return questions.join(found, "query_id", "left").select(
-        "query_id", F.concat(F.coalesce("evidence", F.lit("[]")), F.lit("\n> *User Question:* "), "text").alias("prompt")
+        "query_id", F.concat(F.coalesce("evidence", F.lit("[]")), F.lit("\nQuestion: "), "text").alias("prompt")
     )
 
 

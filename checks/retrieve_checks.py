@@ -156,7 +156,7 @@ def hop_transcript(spark, sf):
 
 @check("answer_context", """
 SELECT query_id, '[' || string_agg('{"rank":' || rank || ',"transcript_id":"' || transcript_id || '","driver_overlap":' || overlap || '}', ','
-       ORDER BY rank) || ']' || chr(10) || '> *User Question:* ' || any_value(text) AS prompt
+       ORDER BY rank) || ']' || chr(10) || 'Question: ' || any_value(text) AS prompt
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ppr_score, 12) DESC, transcript_id) AS rank FROM final)
 JOIN question_text USING (query_id) WHERE rank <= 20 GROUP BY 1""", extra=ppr_ctes("unmasked_candidates"))
 def answer_context(spark, sf):
