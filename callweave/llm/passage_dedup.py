@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, release, same_row, stored, with_extra
+from .common import keyed, release, same_row, sliced, stored, with_extra
 
 #: Starts in a run of the second level.
 STEP = 22
@@ -74,7 +74,7 @@ def sample(text: bytes, length: int, reach: int, at_once: int = PIECE) -> Iterat
 def _sampled(batches, length: int, reach: int):
     """Bucket rows: row key, sampled position, run of starts, and hashes of core and span."""
     small, wide, tail = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest, length - reach + 1
-    for batch in batches:
+    for batch in sliced(batches):
         ids, hashes = batch.column(0), batch.column(2).to_numpy()
         index, at, lo, hi, cores, spans = [], [], [], [], [], []
         for row, value in enumerate(batch.column(1).cast(pa.binary())):
@@ -103,7 +103,7 @@ def _cut_runs(batches, length: int, step: int):
     """
     hash_a, hash_b = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
     names = ["at", "n", "step", "first", "last", "core1", "core2", "left", "right"]
-    for batch in batches:
+    for batch in sliced(batches):
         rows, out = [], {k: [] for k in names}
         texts = batch.column(1).cast(pa.binary())
         for row, runs in enumerate(batch.column(3).to_pylist()):
@@ -139,24 +139,22 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     reach = length + 1 - max(8, length // 8)
     schema = "doc_id long, row_hash long, at int, lo int, hi int, core long, span long"
     suffixes = stored(rows.select("doc_id", "text", "row_hash").mapInArrow(lambda b: _sampled(b, length, reach), schema), "sample")
-    buckets = suffixes.groupBy("core").agg(
-        F.count("*").alias("size"), (F.min("span") < F.max("span")).alias("mixed")
-    ).filter("size > 1").select("core", "mixed")
-    buckets = stored(buckets, "cores")  # a stored side lets adaptive execution split hot buckets of the other
-    repeated = stored(suffixes.join(buckets, "core"), "buckets")
+    # One join tells a suffix row how many rows tie on its span and whether its bucket has other spans.
+    spans = suffixes.groupBy("core", "span").agg(F.count("*").alias("n"))
+    buckets = spans.groupBy("core").agg(
+        F.sum("n").alias("size"), (F.count("*") > 1).alias("mixed"), (F.min("n") == 1).alias("open")
+    ).filter("size > 1").drop("size")
+    ties = stored(spans.join(buckets, "core"), "ties")  # a stored side lets adaptive execution split hot keys of the other
+    repeated = stored(suffixes.join(ties, ["core", "span"]), "buckets")
     release(suffixes)
     place = ["doc_id", "row_hash", "lo", "hi"]
-    tied = repeated.filter("not mixed").select(*place)
-
-    # Distinct spans of mixed buckets, with the number of runs that tie on them and one of these runs.
-    mixed = repeated.filter("mixed")
-    spans = stored(mixed.groupBy("core", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "row_hash", "at", "lo", "hi")).alias("run")
-    ), "spans")
-    whole = mixed.join(spans.filter("n > 1").select("core", "span"), ["core", "span"]).select(*place)
+    tied = repeated.filter("n > 1").select(*place)
+
     # A bucket is cut if one of its spans is alone; its others take part, since a part of them may equal a part of that.
-    alone = spans.filter("n = 1").select("core").distinct()
-    runs = spans.join(alone, "core", "left_semi").groupBy("run.doc_id", "run.row_hash").agg(
+    cut = repeated.filter("mixed and open").groupBy("core", "span").agg(
+        F.first("n").alias("n"), F.min(F.struct("doc_id", "row_hash", "at", "lo", "hi")).alias("run")
+    )
+    runs = cut.groupBy("run.doc_id", "run.row_hash").agg(
         F.collect_list(F.struct("run.at", "run.lo", "run.hi", "n")).alias("runs")
     ).hint("merge")
     rows = rows.select("doc_id", "text", "row_hash")
@@ -191,12 +189,12 @@ def repeated_starts(rows: DataFrame, length: int, step: int = STEP) -> DataFrame
     ), "suffixes")
     same = single.groupBy("name1", "name2").agg(F.sum("all").alias("ties")).filter("ties > 1").drop("ties")
     by_suffix = single.filter("all = 1").join(same, ["name1", "name2"]).select("doc_id", "row_hash", "lo", F.col("lo").alias("hi"))
-    return tied.union(whole).union(by_step).union(by_suffix)
+    return tied.union(by_step).union(by_suffix)
 
 
 def _take_out(batches, length: int, as_text: bool):
     """Merge covered positions and cut them out of whole texts; ``as_text`` keeps whole characters only."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(1).cast(pa.binary())
         kept, removed = [], []
         for row, runs in enumerate(batch.column(2).to_pylist()):
