@@ -4,8 +4,10 @@
 2. Texts with equal votes are alike to the label model, so it needs only how often each pattern of votes occurs: at most
    3 ** len(LABELLERS) counts, whatever the size of the table.  Expectation-maximisation over the counts of all texts
    estimates how often each labeller votes which way on good and on bad texts, and so the chance that a pattern is good.
-3. A bounded sample of texts (``sample`` rows in expectation, chosen by a hash) with these chances as labels trains a
-   logistic scorer on hashed features, which also judges texts on which labellers are silent or disagree.
+3. A bounded sample of distinct texts (at most ``sample``) with these chances as labels trains a logistic scorer on hashed
+   features, which also judges texts on which labellers are silent or disagree.  It is a priority sample: a text with n
+   copies comes in with a chance that grows with n, and weighs n or, if more, what the last text left out stands for.  So
+   a text with many copies is one row that weighs as its copies do, and all other texts together weigh as theirs.
 4. Every text is scored where it is read.  No text crosses an exchange.
 """
 
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import release, sliced, stored
 
-#: Rows the scorer is fitted on, in expectation; its hashed features; passes of both fits.
+#: Most texts the scorer is fitted on; its hashed features; passes of both fits.
 SAMPLE, FEATURES, ROUNDS = 10_000, 1 << 10, 200
 #: Most of the votes of a labeller on good texts that may be bad: labellers are written to fire rarely, and without a bound
 #: the fault that two labellers see alike would be taken for the bad class and every other fault for the good one.
@@ -140,13 +142,19 @@ def features(t: Traits, classes: np.ndarray, size: int = FEATURES) -> np.ndarray
     return out
 
 
-def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights and bias of a logistic model for soft labels, by momentum descent with both classes weighing the same."""
+def fit_scorer(
+    x: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, rate: float = 2.0, decay: float = 1e-4, copies: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights and bias of a logistic model for soft labels, by momentum descent with both classes weighing the same.
+
+    A row counts as ``copies`` rows.
+    """
     weights = np.zeros(x.shape[1] + 1, np.float64)
     if not len(x):
         return weights
-    total = good.sum(), (1 - good).sum()
-    balance = good / max(total[0], 1e-9) + (1 - good) / max(total[1], 1e-9)
+    copies = np.ones(len(x)) if copies is None else copies / copies.mean()
+    total = (copies * good).sum(), (copies * (1 - good)).sum()
+    balance = copies * (good / max(total[0], 1e-9) + (1 - good) / max(total[1], 1e-9))
     balance /= balance.sum()
     speed = np.zeros_like(weights)
     for _ in range(rounds):
@@ -182,27 +190,58 @@ def _patterns(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _examples(batches) -> Iterator[pa.RecordBatch]:
+    seen = set()  # of the sample's hashes, so that copies are read once a task
     for batch in sliced(batches):
-        codes, rows = [], []
-        for text in batch.column(0).to_pylist():
-            t, classes = _read(text)
+        names, codes, rows = [], [], []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if name in seen:
+                continue
+            seen.add(name)
+            t, classes = _read(text.as_py())
+            names.append(name)
             codes.append(votes(t))
             rows.append(features(t, classes).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(rows, pa.binary())], ["code", "x"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(codes, pa.int32()), pa.array(rows, pa.binary())], ["name", "code", "x"]
+        )
+
+
+def draw(texts: DataFrame, sample: int) -> dict[int, float]:
+    """Hash and weight of at most ``sample`` distinct texts, empty ones left out; the weights add up to about all rows.
+
+    Texts come in by rising ``u / copies``, where ``u`` is a second hash between 0 and 1.  Each weighs its copies, or
+    ``copies / u`` of the first text left out if that is more.  The driver is sent no more than about ``sample`` rows: counts
+    of texts by size of their rank say first up to where they are needed.
+    """
+    name = F.xxhash64("text").alias("name")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "name"), 11) + 1) / float(1 << 53)
+    groups = texts.filter("text <> ''").groupBy(name).agg(F.count("*").alias("copies")).withColumn("rank", u / F.col("copies"))
+    groups = stored(groups.withColumn("size", F.floor(F.log2("rank") * 8).cast("int")), "texts")
+    enough, upto = 0, None
+    for upto, n in sorted(tuple(r) for r in groups.groupBy("size").count().collect()):
+        enough += n
+        if enough > sample:
+            break
+    found = [] if upto is None else groups.filter(F.col("size") <= upto).orderBy("rank", "name").limit(sample + 1).collect()
+    release(groups)
+    least = 1 / found[sample]["rank"] if len(found) > sample else 0.0
+    return {r["name"]: max(float(r["copies"]), least) for r in found[:sample]}
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The model for ``docs``; votes of all rows count, ``sample`` rows in expectation train the scorer."""
+    """The model for ``docs``; votes of all rows count, at most ``sample`` distinct texts train the scorer."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = sorted(tuple(r) for r in texts.mapInArrow(_patterns, "code int").groupBy("code").count().collect())
     codes, counts = np.array([c for c, _ in found], np.int64), np.array([n for _, n in found], np.float64)
     good, table, prior = fit_labels(codes, counts)
     chances = dict(zip(codes.tolist(), good.tolist()))
-    share = min(1.0, sample / max(1.0, counts.sum()))
-    picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = picked.mapInArrow(_examples, "code int, x binary").collect()
+    drawn = draw(texts, sample)
+    names = docs.sparkSession.createDataFrame([(n,) for n in drawn], "name long")
+    picked = texts.filter("text <> ''").select(F.xxhash64("text").alias("name"), "text").join(F.broadcast(names), "name", "left_semi")
+    rows = picked.mapInArrow(_examples, "name long, code int, x binary").groupBy("name").agg(F.first("code").alias("code"), F.first("x").alias("x"))
+    rows = sorted(rows.collect(), key=lambda r: r["name"])
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, FEATURES)
-    weights = fit_scorer(x, np.array([chances[r["code"]] for r in rows]))
+    weights = fit_scorer(x, np.array([chances[r["code"]] for r in rows]), copies=np.array([drawn[r["name"]] for r in rows]))
     return Model(weights, table, prior)
 
 

@@ -94,3 +94,16 @@ def test_classifier_on_given_labels_and_odd_rows(spark):
     assert len(quality.scores(odd, known).collect()) == 5
     empty = odd.limit(0)
     assert quality.keep_good(empty, quality.fit(empty)).collect() == [] and quality.scores(empty, quality.fit(empty)).collect() == []
+
+
+def test_training_sample_is_bounded_and_weighs_copies(spark, monkeypatch):
+    sample, seen = 50, []
+    rows = [(None,)] * 4000 + [("",)] * 3000 + [("A text that has very many copies. " * 3,)] * 2000 + [(f"Text {i} tells of number {i * 7}, once.",) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    real = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, good, **more: seen.append((x, more["copies"])) or real(x, good, **more))
+    quality.fit(docs, sample=sample)
+    x, copies = seen[0]
+    assert len(x) == len(copies) == sample and (x != 0).any(axis=1).all()  # null and empty texts have no feature
+    assert copies.max() == 2000 and 500 < copies.sum() - 2000 < 2000  # the hot text once; the others stand for about 1000
+    assert len(quality.draw(docs, 2000)) == 1001 and set(quality.draw(docs, 2000).values()) == {1.0, 2000.0}
