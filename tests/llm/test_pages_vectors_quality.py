@@ -21,6 +21,19 @@ def test_marked_page():
     assert {"Home", "Buy & win", "© us", "Nice!"} <= {text for _, text in rest}
 
 
+def test_main_with_teaser_articles_keeps_its_story():
+    story, teaser = "<h1>Head</h1><p>" + "A long story. " * 9 + "</p>", "<article><p>Read on</p></article>"
+    told = ["Head", ("A long story. " * 9).strip()]
+    assert read_page(f"<main>{story}{teaser}</main>")[0] == told + ["Read on"]
+    assert read_page(f"<main>{story}</main>{teaser}")[0] == told
+    assert read_page(f"<main>{story}</main>{teaser * 50}")[0] == told
+    assert read_page(f"<main>{story}{teaser * 50}</main>")[0] == told + ["Read on"] * 50
+    assert read_page(f"<main><p>Crumbs</p><article>{story}</article></main>")[0] == told
+    assert read_page(f"<main><p>Crumbs</p></main><article>{story}</article>")[0] == told
+    assert read_page(f"<div role='main' class='content has-sidebar'>{story}<div class='sidebar'>Links</div></div>")[0] == told
+    assert read_page(f"<article class='comment'>{teaser}</article><p>x</p>")[2] is False
+
+
 def page(*blocks):
     return "<html><body><div class='menu'>Home News</div>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body></html>"
 
