@@ -11,6 +11,7 @@ from .bin_packing import pack_documents
 from .byte_bpe import decode, encode
 from .common import table
 from .exact_dedup import exact_groups
+from .fill_in_middle import fill_in_middle, restore
 from .html_text import extract
 from .line_dedup import remove_repeated_lines
 from .passage_dedup import remove_repeats
@@ -126,3 +127,27 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_fill_in_middle", """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+    select doc_id, t, length(t) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+        ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d
+), c as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+            when h4 % 100 < 20 then 'spm' else 'psm' end as form from u
+), p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a::bigint end as prefix_chars,
+    case when form <> 'plain' then (b - a)::bigint end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+        else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+    sha256(t) as restored_sha256
+from p
+""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
