@@ -13,6 +13,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .fill_in_middle import fill_in_middle, restore
 from .html_text import extract
+from .importance_resampling import resample
 from .line_dedup import remove_repeated_lines
 from .passage_dedup import remove_repeats
 from .simhash_dedup import near_components
@@ -151,3 +152,41 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op12_importance_resampling", """
+with tab as (
+    select list(c order by b) as tab from (
+        select b, list_reduce([b] || [1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from (select unnest(range(256))::bigint as b)
+    )
+), d as (
+    select 0 as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    union all
+    select 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), w as (select side, id, unnest(w) as word from d),
+codes as (
+    select word, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(hex(word)), 2), lambda i: ('0x' || substr(hex(word), i, 2))::bigint),
+        lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+    from (select distinct word from w), tab
+), f as (select side, id, bucket from w join codes using (word)),
+n as (
+    select b.bucket, count(*) filter (where side = 0) as s, count(*) filter (where side = 1) as t
+    from (select unnest(range(10000)) as bucket) b left join f using (bucket) group by b.bucket
+), g as (
+    select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from n
+), x as (select id, sum(gain)::bigint as weight from f join g using (bucket) where side = 0 group by id),
+y as (
+    select id as doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+        coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from d left join x using (id) where side = 0
+), r as (
+    select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from y where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= n * 10 // 100 then rank::bigint end as rank from y left join r using (doc_id)
+""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024,
+                    percent=10, least_words=20).select("doc_id", "n_features", "weight", "score", "rank")
