@@ -10,6 +10,7 @@ from . import quality
 from .bin_packing import pack_documents
 from .byte_bpe import decode, encode
 from .common import table
+from .doc_fingerprint import edited_and_next
 from .exact_dedup import exact_groups
 from .fill_in_middle import fill_in_middle, restore
 from .html_text import extract
@@ -190,3 +191,8 @@ select doc_id, n_features, weight, score, case when rank <= n * 10 // 100 then r
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024,
                     percent=10, least_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_document_fingerprints")
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_and_next(table(spark, sf_dir, "documents"))
