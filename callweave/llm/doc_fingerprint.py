@@ -171,9 +171,10 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     links = _links(rows)
     prints = rows.withColumn("fingerprint", fingerprint(F.col("text"), size, bins, bits))
-    # Both sides of the join below read the same exchange.
+    # All uses below read the same exchange: the filter, always true, keeps its columns alike.
     one = prints.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in ("text", "n_chars", "fingerprint")), F.count("*").alias("copies"))
-    sent = one.filter("copies > 0 and n_chars >= 0").toDF(*(f"next_{c}" for c in one.columns))
+    one = one.filter("copies > 0 and n_chars >= 0")
+    sent = one.toDF(*(f"next_{c}" for c in one.columns))
     sent = sent.join(links.hint("merge"), [f"next_{k}" for k in KEY]).select(
         *KEY, F.expr("substring(next_text, 1, cast(need as int))").alias("head"), "next_fingerprint"
     )
