@@ -16,10 +16,14 @@ blockwise construction, one suffix bucket at a time, with ties resolved by ranks
 All of this is counting of keys with map-side combine, so no task holds a bucket: a passage in a third of all rows is
 as good as any.  The sample crosses an exchange as numbers; texts cross one when differing runs are cut and one when
 removed bytes are taken out.  Spans and cores are compared by 128 bits (two 64-bit hashes with different seeds).
+
+``remove_repeated_words`` applies the same to texts of words: each word stands as four bytes of its hash, so ``words`` words in a row
+are a string of fixed length however long their letters are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,8 @@ PIECE = 1 << 21
 #: Fixed odd multipliers that mix eight bytes.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LOW = np.uint64((1 << 24) - 1)
+#: Words, and the bytes that stand for one.
+WORD, WORD_BYTES = re.compile(r"[^\x20\x09-\x0D]+"), 4
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -198,12 +204,7 @@ def _take_out(batches, length: int, as_text: bool):
         texts = batch.column(1).cast(pa.binary())
         kept, removed = [], []
         for row, runs in enumerate(batch.column(2).to_pylist()):
-            text, spans = texts[row].as_py(), []
-            for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs or ()):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+            text, spans = texts[row].as_py(), _merged(runs or [], length)
             edges = [0, *(x for span in spans for x in span), len(text)]
             left = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
             kept.append("".join(part.decode(errors="ignore") for part in left) if as_text else b"".join(left))
@@ -236,3 +237,64 @@ def remove_repeats(
     kind = "string" if carry else "binary"
     schema = f"doc_id long, row_hash long, n_bytes long, kept {kind}, removed array<struct<begin:int,end:int>>"
     return both.mapInArrow(lambda b: _take_out(b, length, carry), with_extra(schema, rows))
+
+
+def _as_words(batches):
+    """Texts as strings of word hashes."""
+    hash_of = xxhash.xxh32_intdigest
+    for batch in sliced(batches):
+        streams = [np.array([hash_of(w) for w in WORD.findall(text.as_py())], "<u4").tobytes() for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.binary()), batch.column(2)], ["doc_id", "text", "row_hash"])
+
+
+def _merged(runs: list[dict], length: int) -> list[list[int]]:
+    spans: list[list[int]] = []
+    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs):
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi)
+        else:
+            spans.append([lo, hi])
+    return spans
+
+
+def _take_out_words(batches, length: int):
+    for batch in sliced(batches):
+        kept, removed = [], []
+        for text, runs in zip(batch.column(1), batch.column(2).to_pylist()):
+            text, n = text.as_py(), 0
+            if runs:
+                starts = [m.start() for m in WORD.finditer(text)]
+                n_words, parts, at = len(starts), [], 0
+                starts.append(len(text))
+                for lo, hi in _merged(runs, length):
+                    # Whole words only; the white space behind a word goes with it.
+                    first, end = -(-lo // WORD_BYTES), min(hi // WORD_BYTES, n_words)
+                    parts.append(text[at:starts[first]])
+                    at = starts[end]
+                    n += end - first
+                text = "".join(parts) + text[at:]
+            kept.append(text)
+            removed.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(3), pa.array(kept, pa.string()), pa.array(removed, pa.int64()), *batch.columns[4:]],
+            ["doc_id", "row_hash", "kept", "n_removed", *batch.schema.names[4:]],
+        )
+
+
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, carry: bool = False) -> DataFrame:
+    """``doc_id``, ``row_hash``, ``kept`` (text that remains), ``n_removed`` (words) for every row, and ``extra`` with ``carry``.
+
+    A word goes when ``words`` (8 at least) words in a row that hold it also start at another place of the table, in the same text
+    or another, whatever white space stands between them; every place loses them.  Words stand between ASCII white space and count
+    as equal when their 32-bit hashes are; null counts as empty, and a text of fewer words keeps all.  Repeated rows are places of
+    their own, so their texts go; null ids are rows like others.  White space before the first kept word stays.
+    """
+    rows = keyed(docs, id_col, text_col, carry)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    streams = rows.select("doc_id", "text", "row_hash").mapInArrow(_as_words, f"doc_id {kind}, text binary, row_hash long")
+    length = words * WORD_BYTES
+    starts = stored(repeated_starts(streams, length, STEP // WORD_BYTES * WORD_BYTES), "starts")
+    runs = starts.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).hint("merge")
+    both = rows.join(runs, same_row(rows, runs), "left").select(rows["doc_id"], "text", "runs", rows["row_hash"], *rows.columns[3:])
+    schema = "doc_id long, row_hash long, kept string, n_removed long"
+    return both.mapInArrow(lambda b: _take_out_words(b, length), with_extra(schema, rows))

@@ -128,6 +128,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        # A cut may split a character: what is left of it reads as a replacement character.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -1,10 +1,11 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from callweave.llm.passage_dedup import remove_repeats, sample
+from callweave.llm.passage_dedup import remove_repeated_words, remove_repeats, sample
 
 
 def brute(texts, length):
@@ -66,3 +67,36 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, step=6).collect(), key=str)
     assert sorted(result(got)) == sorted(brute([t for _, t in rows], 40))
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_words(texts, words):
+    cut = [[(m.group(), m.start()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    seen = Counter(tuple(w for w, _ in c[i:i + words]) for c in cut for i in range(len(c) - words + 1))
+    out = []
+    for text, c in zip(texts, cut):
+        gone = [False] * len(c)
+        for i in range(len(c) - words + 1):
+            if seen[tuple(w for w, _ in c[i:i + words])] > 1:
+                gone[i:i + words] = [True] * words
+        ends = [s for _, s in c[1:]] + [len(text or "")]
+        kept = (text or "")[:c[0][1] if c else None] + "".join((text or "")[s:e] for (_, s), e, g in zip(c, ends, gone) if not g)
+        out.append((kept, sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("words,seed", [(8, 1), (12, 2), (50, 3)])
+def test_repeated_words(spark, words, seed):
+    rng = random.Random(seed)
+    prose = lambda n: "".join(rng.choice(["a", "Bé", "😀", "word", "long" * 9]) + str(rng.randrange(300)) + rng.choice([" ", "  ", "\n", "\t\x0b"]) for _ in range(n))
+    shared = [prose(rng.randint(words - 2, 3 * words)) for _ in range(5)]
+    texts = [None, "", " \n", "same " * (words - 1), "same " * (3 * words), "  lead " + shared[0]]
+    for _ in range(50):
+        parts = [rng.choice([prose(rng.randint(1, 60)), rng.choice(shared), " ".join(rng.choice(shared).split()[rng.randint(0, 9):])]) for _ in range(rng.randint(1, 4))]
+        texts.append(" ".join(parts))
+    texts += [texts[-1], "tail " + prose(20_000) + shared[1]]
+    docs = spark.createDataFrame([(i if i else None, t, "r", 1) for i, t in enumerate(texts)], "doc_id long, text string, runs string, lo int")
+    got = remove_repeated_words(docs, words=words, carry=True).collect()
+    want = brute_words(texts, words)
+    assert {r.doc_id or 0: (r.kept, r.n_removed) for r in got} == dict(enumerate(want)) and any(n for _, n in want)
+    assert all(r.extra.runs == "r" for r in got)
+    assert remove_repeated_words(docs.limit(0)).collect() == []
