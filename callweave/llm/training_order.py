@@ -64,7 +64,8 @@ def slots(numbers: np.ndarray, n: int, key: int, backwards: bool = False) -> np.
 
 def _records(batches, path: str, length: int, ranges: dict, m: int, key: int, shards: int):
     encode, kind = encoder(path).encode, record_type(length)
-    number, end = ranges[TaskContext.get().partitionId()]
+    # A split without rows was not counted and owns no numbers.
+    number, end = ranges.get(TaskContext.get().partitionId(), (0, 0))
     for batch in sliced(batches, 256):
         # A few texts at a time: the records of many long texts would be copies of all of them.
         for lo, ids_of in _bounded(map(encode, (t or "" for t in batch.column(1).to_pylist()))):
@@ -114,7 +115,7 @@ def write_shards(
 
     A sequence is up to ``length`` consecutive ids of one document; an empty or null text is one sequence of no ids.
     Null document ids are written as the smallest 64-bit number.  Repeated rows are sequences of their own.  An empty
-    table writes no shard.  The tokenizer must have fewer than 65,536 ids.
+    table writes no shard, and input splits without rows take no numbers.  The tokenizer must have fewer than 65,536 ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")

@@ -169,6 +169,26 @@ def test_training_order_round_trip(spark, tmp_path):
     assert training_order.training_order(docs.limit(0), WORDS, key=1).collect() == []
 
 
+def test_training_order_with_splits_without_rows(spark, tmp_path):
+    rows = [(i, f"text {i} " * 20, "x", 1, 2, 3) for i in range(3000)]
+    path = str(tmp_path / "docs")
+    # One row group, read by several splits: all but one of them have no rows.
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() > 3
+        assert sorted(r.doc_id for r in training_order.training_order(docs, WORDS, key=3).collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    filtered = spark.createDataFrame(rows[:40], SCHEMA).repartitionByRange(8, "doc_id").filter("doc_id between 12 and 20")
+    assert sorted(r.doc_id for r in training_order.training_order(filtered, WORDS, key=3).collect()) == list(range(12, 21))
+    assert training_order.training_order(filtered.filter("doc_id < 0"), WORDS, key=3).collect() == []
+
+
 # byte BPE
 
 def test_byte_bpe(spark):
