@@ -33,8 +33,12 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold:
     """Exact nearest vectors per query: ``(query_id, item_id, score, rank)``.
 
     A task multiplies a block of vectors with a page of queries and passes on its best ``k`` per query, so no task and
-    not the driver holds all of either, and no pair of the rest is shuffled.
+    not the driver holds all of either, and no pair of the rest is shuffled.  Rows and queries without a vector, or with a null or
+    a number that is not finite in it, take no part.
     """
+    vector = F.col("vector")
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    vectors, queries = (df.filter(vector.isNotNull() & F.forall(vector.cast("array<double>"), number)) for df in (vectors, queries))
 
     def score(rows, asked):
         import numpy as np

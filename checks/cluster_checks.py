@@ -173,22 +173,57 @@ def cluster_terms(spark, sf):
         "cluster", "term", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@check("l2_clusters")
-def l2_clusters(spark, sf):
-    rows = v.table(spark, sf, "embeddings").select(
+def ward_ctes(prefix, items, n_clusters, rounds=36):
+    """Rounds of merges of mutual nearest clusters of ``items(field, item_id, vec)``, then the roots below the dearest merges."""
+    p = prefix
+    ctes = [(f"{p}w0", f"SELECT field, item_id AS point, vec, 1.0::DOUBLE AS w FROM {items}")]
+    for r in range(rounds):
+        ctes += [
+            (f"{p}n{r}", f"""SELECT field, point, best[1] AS height, best[2] AS nearest FROM (
+                SELECT a.field, a.point, min(row(a.w * b.w / (a.w + b.w) * pow(list_distance(a.vec, b.vec), 2), b.point)) AS best
+                FROM {p}w{r} a JOIN {p}w{r} b ON a.field = b.field AND a.point <> b.point GROUP BY 1, 2)"""),
+            (f"{p}m{r}", f"""SELECT x.field, x.point AS kept, y.point AS gone, x.height, {r} AS round FROM {p}n{r} x JOIN {p}n{r} y
+                ON x.field = y.field AND x.nearest = y.point AND y.nearest = x.point AND x.point < y.point"""),
+            (f"{p}w{r+1}", f"""SELECT k.field, k.point, CASE WHEN g.w IS NULL THEN k.vec ELSE
+                list_transform(range(1, len(k.vec) + 1), lambda i: (k.vec[i] * k.w + g.vec[i] * g.w) / (k.w + g.w)) END AS vec, k.w + coalesce(g.w, 0) AS w
+                FROM {p}w{r} k LEFT JOIN {p}m{r} m ON m.field = k.field AND m.kept = k.point
+                LEFT JOIN {p}w{r} g ON g.field = m.field AND g.point = m.gone
+                WHERE NOT EXISTS (SELECT 1 FROM {p}m{r} d WHERE d.field = k.field AND d.gone = k.point)"""),
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM {p}m{r}" for r in range(rounds))
+    ctes.append((f"{p}held", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY height DESC, gone DESC) AS dear
+                                 FROM ({every})) WHERE dear > {n_clusters - 1}"""))
+    ctes.append((f"{p}r0", f"SELECT field, item_id, item_id AS root FROM {items}"))
+    for r in range(rounds):
+        ctes.append((f"{p}r{r+1}", f"""SELECT a.field, a.item_id, coalesce(h.kept, a.root) AS root FROM {p}r{r} a
+                                       LEFT JOIN {p}held h ON h.round = {r} AND h.field = a.field AND h.gone = a.root"""))
+    ctes.append((f"{p}labels", f"""SELECT field, item_id, root, cast(dense_rank() OVER (PARTITION BY field ORDER BY root) - 1 AS BIGINT) AS label
+                                   FROM {p}r{rounds}"""))
+    return ctes
+
+
+view("ward_items", "SELECT 'keywords' AS field, vec_id AS item_id, embedding::DOUBLE[] AS vec FROM embeddings")
+view("ward_heads", "SELECT field, id AS item_id, vec FROM l2_clusters_vec")
+L2_WARD, L1_WARD = ward_ctes("wa", "ward_items", 200), ward_ctes("wb", "ward_heads", 20)
+
+
+def ward_items(spark, sf):
+    return v.table(spark, sf, "embeddings").select(
         F.lit("keywords").alias("field"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return ward.cluster_vectors(rows, clusters.N_L2)
 
 
-@check("l2_clusters_rounds")
+@check("l2_clusters", "SELECT field, item_id, label FROM walabels", extra=L2_WARD)
+def l2_clusters(spark, sf):
+    return ward.cluster_vectors(ward_items(spark, sf), clusters.N_L2)
+
+
+@check("l2_clusters_rounds", "SELECT field, item_id, label FROM walabels", extra=L2_WARD)
 def l2_clusters_rounds(spark, sf):
-    """The same clusters, with all but the last merges found in rounds over the executors."""
-    rows = v.table(spark, sf, "embeddings").select(
-        F.lit("keywords").alias("field"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return ward.cluster_vectors(rows, clusters.N_L2, local=300)
+    """The same clusters, with all but the last merges found in rounds over the executors, block against block."""
+    return ward.cluster_vectors(ward_items(spark, sf), clusters.N_L2, local=200, block=128)
 
 
-@check("l1_clusters")
+@check("l1_clusters", "SELECT field, item_id, label FROM wblabels", extra=L1_WARD)
 def l1_clusters(spark, sf):
     rows = v.l2_clusters_vec(spark, sf).select("field", F.col("id").alias("item_id"), F.col("embedding").alias("vector"))
     return ward.cluster_vectors(rows, clusters.N_L1)

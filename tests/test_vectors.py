@@ -95,6 +95,33 @@ def test_ward_of_few_and_equal_points(spark):
         assert len(parts(ward.cluster_vectors(vector_rows(spark, points[:3]), 5, local).collect())) == 3
 
 
+def test_ward_skips_pairs_of_blocks_and_leaves_odd_rows_out(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 4)) * 50
+    points = np.concatenate([c + rng.normal(size=(25, 4)) for c in centres])
+    report = []
+    found = ward.cluster_vectors(vector_rows(spark, points), 12, local=30, block=25, report=report).collect()
+    assert parts(found) == {frozenset(range(25 * i, 25 * i + 25)) for i in range(12)}
+    assert parts(found) == parts(ward.cluster_vectors(vector_rows(spark, points), 12).collect())
+    # Clusters that search, times all: most of these pairs lie in balls too far apart.
+    assert report[0]["asking"] == 300 and report[0]["compared"] < 300 * 300 / 3
+    assert sum(r["compared"] for r in report) < sum(r["clusters"] ** 2 for r in report) / 3
+    odd = spark.createDataFrame([("f", 900, None), ("f", 901, [1.0, None, 0.0, 0.0]), ("f", 902, [float("nan")] * 4), ("f", 903, [float("inf")] * 4), ("f", 904, [])],
+                                "field string, item_id long, vector array<double>")
+    for local in (2000, 30):
+        again = ward.cluster_vectors(vector_rows(spark, points).unionByName(odd), 12, local, 25).collect()
+        assert parts(again) == parts(found)
+    assert ward.cluster_vectors(odd, 3).collect() == []
+    with pytest.raises(ValueError):
+        ward.cluster_vectors(vector_rows(spark, [[1.0], [1.0, 2.0]]), 1)
+
+
+def test_rows_without_a_vector_are_not_searched(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0])], "item_id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "query_id long, vector array<double>")
+    assert [(r.query_id, r.item_id) for r in search.cosine_topk(items, queries).collect()] == [(7, 1)]
+
+
 def test_cosine_topk_in_slices(spark, monkeypatch):
     rng = np.random.default_rng(8)
     items, queries = rng.normal(size=(50, 4)), rng.normal(size=(6, 4))
