@@ -41,9 +41,9 @@ def representatives(members: DataFrame, keys: list[str], k: int = REPRESENTATIVE
                keys, k, REPRESENTATIVE_LAMBDA)
 
 
-def prompt_text(picks: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+def prompt_text(picks: DataFrame, texts: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """Representatives' texts in pick order; a cluster has at most the picked number of them."""
-    rows = bounded_broadcast(picks).join(texts, "pos")
+    rows = bounded_broadcast(picks).join(texts, on or ["pos"])
     ordered = F.array_sort(F.collect_list(F.struct("pick", "text")))
     return rows.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), REPRESENTATIVE_SEPARATOR).alias("prompt_text"),
@@ -89,24 +89,26 @@ def search_text(clusters: DataFrame, query: str, with_field: bool = True) -> Dat
     return clusters.filter(F.col("type") == "L2Cluster").filter(F.contains(joined, F.lower(F.lit(query))))
 
 
-def distinguishing_terms(texts: DataFrame, k: int = 3) -> DataFrame:
-    """Top terms per cluster by class-based tf-idf: ``(cluster, term, score, rank)``.
+def distinguishing_terms(texts: DataFrame, k: int = 3, within: list[str] | None = None) -> DataFrame:
+    """Top terms per cluster by class-based tf-idf: ``(cluster, term, score, rank)``, with the columns ``within`` that part the texts.
 
     Terms are counted per cluster where the texts were read, so a cluster's size shows
     only in the counts.
     """
+    part = within or []
     counted = materialize(
-        fx.word_rows(texts.select("cluster", "text"), ["cluster"])
-        .groupBy("cluster", "term").agg(F.count("*").alias("tf")),
+        fx.word_rows(texts.select(*part, "cluster", "text"), [*part, "cluster"])
+        .groupBy(*part, "cluster", "term").agg(F.count("*").alias("tf")),
         "cluster-terms",
     )
-    sizes = counted.groupBy("cluster").agg(F.sum("tf").alias("words"))
-    overall = counted.groupBy("term").agg(F.sum("tf").alias("everywhere"))
-    mean_words = sizes.agg(F.avg("words")).first()[0] or 0.0
-    scored = counted.join(overall, "term").join(bounded_broadcast(sizes), "cluster").withColumn(
-        "score", F.col("tf") / F.col("words") * F.log(1 + F.lit(float(mean_words)) / F.col("everywhere"))
+    sizes = counted.groupBy(*part, "cluster").agg(F.sum("tf").alias("words"))
+    overall = counted.groupBy(*part, "term").agg(F.sum("tf").alias("everywhere"))
+    means = sizes.groupBy(*part).agg(F.avg("words").alias("mean_words"))
+    sizes = sizes.join(means, part) if part else sizes.withColumn("mean_words", F.lit(float(means.first()[0] or 0.0)))
+    scored = counted.join(overall, [*part, "term"]).join(bounded_broadcast(materialize(sizes, "cluster-sizes")), [*part, "cluster"]).withColumn(
+        "score", F.col("tf") / F.col("words") * F.log(1 + F.col("mean_words") / F.col("everywhere"))
     )
-    return top_k(scored, ["cluster"], [F.desc(F.round("score", 9)), F.asc("term")], k).select("cluster", "term", "score", "rank")
+    return top_k(scored, [*part, "cluster"], [F.desc(F.round("score", 9)), F.asc("term")], k).select(*part, "cluster", "term", "score", "rank")
 
 
 def names_from_terms(terms: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from callweave.functions import vectors as vx
 from callweave.operators import clusters, search, ward
 from callweave.operators.joins import top_k
 from callweave.plans import retrieve
-from callweave.session import materialize
+from callweave.plans.cluster_build import cluster_build as build_clusters
+from callweave.session import fresh_path, materialize
 
 from . import views as v
 from .registry import check, view
@@ -229,6 +230,80 @@ def l1_clusters(spark, sf):
     return ward.cluster_vectors(rows, clusters.N_L1)
 
 
+def label_ctes(prefix, texts):
+    """Terms, names, descriptions and their vectors of ``texts(cluster, item_id, text)``; vectors come from all items."""
+    p = prefix
+    return [
+        (f"{p}words", f"SELECT cluster, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM {texts}"),
+        (f"{p}sizes", f"SELECT cluster, count(*) AS words FROM {p}words GROUP BY 1"),
+        (f"{p}terms", f"""SELECT cluster, term, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rank FROM (
+              SELECT cluster, term, tf / words * ln(1 + (SELECT avg(words) FROM {p}sizes) / everywhere) AS score
+              FROM (SELECT cluster, term, count(*)::DOUBLE AS tf FROM {p}words GROUP BY 1, 2) JOIN {p}sizes USING (cluster)
+              JOIN (SELECT term, count(*) AS everywhere FROM {p}words GROUP BY 1) USING (term))) WHERE rank <= 8"""),
+        (f"{p}held", f"""SELECT DISTINCT item_id, vec, term FROM (
+            SELECT item_id, vec, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM build_items)
+            WHERE term IN (SELECT term FROM {p}terms)"""),
+        (f"{p}coords", f"""SELECT term, i, avg(x) AS x FROM (SELECT term, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS i FROM {p}held)
+                           GROUP BY 1, 2"""),
+        (f"{p}views", f"""SELECT cluster, list(nx ORDER BY i) AS nv, list(dx ORDER BY i) AS dv FROM (
+            SELECT cluster, i, avg(x) FILTER (rank <= 3) AS nx, avg(x) AS dx FROM {p}terms JOIN {p}coords USING (term) GROUP BY 1, 2) GROUP BY 1"""),
+        (f"{p}names", f"""SELECT cluster, string_agg(term, ' ' ORDER BY rank) FILTER (rank <= 3) AS name,
+            'About ' || string_agg(term, ', ' ORDER BY rank) AS description FROM {p}terms GROUP BY 1"""),
+    ]
+
+
+def level_ctes(prefix, members, level):
+    """Clusters of ``members(cluster, pos, vec, text)`` with names from ``<prefix>names`` and multi-view vectors; their picks and prompt texts."""
+    p = prefix
+    return [
+        (f"{p}means", f"""SELECT cluster, list(x ORDER BY i) AS c FROM (SELECT cluster, i, avg(x) AS x FROM (
+            SELECT cluster, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS i FROM {members}) GROUP BY 1, 2) GROUP BY 1"""),
+        (f"{p}mixed", f"""SELECT cluster, c, CASE WHEN nv IS NULL THEN c ELSE list_transform(range(1, len(c) + 1), lambda i: c[i] + 0.5 * nv[i] + 0.5 * dv[i]) END AS m
+            FROM {p}means LEFT JOIN {p}views USING (cluster)"""),
+        (f"{p}level", f"""SELECT cluster, 'keywords_{level}_' || cluster AS id, coalesce(name, 'keywords {level} Group ' || cluster) AS name,
+            coalesce(description, 'General grouping') AS description, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS vec
+            FROM {p}mixed LEFT JOIN {p}names USING (cluster)"""),
+        (f"{p}items", f"""SELECT cluster, pos, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec,
+            list_cosine_similarity(vec, c) AS rel FROM {members} JOIN {p}means USING (cluster)"""),
+        *mmr_ctes(f"{p}p", f"{p}items", ["cluster"], 20, 0.6, False),
+        (f"{p}prompts", f"""SELECT cluster, string_agg(m.text, chr(10) || '---' || chr(10) ORDER BY pick) AS prompt_text
+            FROM {p}p20 JOIN {members} m USING (cluster, pos) GROUP BY 1"""),
+    ]
+
+
+view("build_items", """
+SELECT 'keywords' AS field, vec_id AS item_id, embedding::DOUBLE[] AS vec, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id""")
+BUILD = [
+    *ward_ctes("ca", "build_items", 200),
+    ("l2_in", "SELECT label AS cluster, item_id, item_id AS pos, vec, text FROM calabels JOIN build_items USING (field, item_id)"),
+    *label_ctes("cb", "l2_in"), *level_ctes("cb", "l2_in", "L2"),
+    ("l2_heads", "SELECT 'keywords' AS field, id AS item_id, vec FROM cblevel"),
+    *ward_ctes("cc", "l2_heads", 20),
+    ("l1_of", "SELECT l.label AS l1, b.cluster AS l2, b.id FROM cclabels l JOIN cblevel b ON b.id = l.item_id"),
+    ("l1_in", """SELECT o.l1 AS cluster, o.l2 AS pos, b.vec, 'Sub-Group Name: ' || b.name || chr(10) || 'Description: ' || b.description AS text
+                 FROM l1_of o JOIN cblevel b ON b.cluster = o.l2"""),
+    ("l1_texts", "SELECT o.l1 AS cluster, i.item_id, i.text FROM l2_in i JOIN l1_of o ON o.l2 = i.cluster"),
+    *label_ctes("cd", "l1_texts"), *level_ctes("cd", "l1_in", "L1"),
+]
+
+
+@check("cluster_build", """
+SELECT 'L1Cluster' AS type, 'keywords' AS field, id, NULL AS parent_id, name, description, (SELECT count(*) FROM l1_of o WHERE o.l1 = c.cluster) AS child_count,
+       NULL::BIGINT AS member_count, prompt_text, round(vec[1], 6) AS first_x FROM cdlevel c JOIN cdprompts USING (cluster)
+UNION ALL
+SELECT 'L2Cluster', 'keywords', c.id, 'keywords_L1_' || o.l1, name, description, NULL, (SELECT count(*) FROM l2_in i WHERE i.cluster = c.cluster),
+       prompt_text, round(vec[1], 6) FROM cblevel c JOIN cbprompts p USING (cluster) JOIN l1_of o ON o.l2 = c.cluster""", extra=BUILD)
+def cluster_build(spark, sf):
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    items = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    items = items.join(docs, "item_id", "left").withColumn("field", F.lit("keywords"))
+    built = build_clusters(items, fresh_path(spark, "cluster-build"))
+    return built["catalog"].join(built["prompts"].select("id", "prompt_text"), "id").select(
+        "type", "field", "id", "parent_id", "name", "description", "child_count", "member_count", "prompt_text",
+        F.round(F.get("embedding", F.lit(0)), 6).alias("first_x"))
+
+
 @check("text_vectors", r"""
 WITH words AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
 tf AS (SELECT item_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
