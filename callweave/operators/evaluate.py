@@ -117,57 +117,72 @@ def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """The n-grams of a token list as text."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + (j - 1)) for j in range(n)]))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def gram_overlap(pairs: DataFrame, orders: int, tokens) -> DataFrame:
-    """Clipped n-gram matches ``(query_idx, n, matched, candidate, reference)`` of text pairs.
+def _matches(c: Column, r: Column, n: int) -> Column:
+    """Size of the multiset intersection of the n-grams of two lists of token hashes.
 
-    Both texts are exploded together and counted per n-gram map-side.
+    One copy of every gram is met by set intersection.  Only where the reference has further copies, seldom but for single words,
+    those of both sides go into one sorted list, a bit telling the side, so equal grams stand together, the candidate's first;
+    one pass over that list pairs them off.
     """
-    tokenised = pairs.select("query_idx", tokens(F.col("candidate")).alias("c"), tokens(F.col("reference")).alias("r"))
-    grams = F.flatten(F.array(*[
-        _tagged(_grams(F.col(side), n), n, side)
-        for n in range(1, orders + 1) for side in ("c", "r")
-    ]))
-    counted = (
-        tokenised.select("query_idx", F.inline_outer(grams)).filter("gram is not null")
-        .groupBy("query_idx", "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    )
-    return counted.groupBy("query_idx", "n").agg(
-        F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("candidate"), F.sum("r").alias("reference"))
+    def grams(tokens: Column) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        name = lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)])
+        return F.transform(starts, lambda i: name(i).bitwiseAND(-2))
+
+    def further(grams: Column) -> Column:
+        return _let(F.sort_array(grams), lambda s: F.filter(s, lambda g, i: (i > 0) & (F.get(s, i - 1) == g)))
+
+    def step(state: Column, mark: Column) -> Column:
+        gram, mine = mark.bitwiseAND(-2), mark.bitwiseAND(1) == 0
+        left = F.when(state["gram"] == gram, state["left"]).otherwise(0)
+        hit = ~mine & (left > 0)
+        return F.struct(
+            gram.alias("gram"), F.when(mine, left + 1).when(hit, left - 1).otherwise(left).alias("left"),
+            F.when(hit, state["hits"] + 1).otherwise(state["hits"]).alias("hits"))
+
+    def paired(mine: Column, other: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("gram"), F.lit(0).alias("left"), F.lit(0).cast("long").alias("hits"))
+        marked = F.sort_array(F.concat(mine, F.transform(other, lambda g: g.bitwiseOR(1))))
+        return F.aggregate(marked, start, step, lambda state: state["hits"])
 
+    def more(mine: Column, other: Column) -> Column:
+        return F.when(F.size(other) == 0, F.lit(0).cast("long")).otherwise(paired(further(mine), other))
 
-def _tagged(grams: Column, n: int, side: str) -> Column:
-    mine, other = ("c", "r") if side == "c" else ("r", "c")
-    both = {mine: F.lit(1).cast("long"), other: F.lit(0).cast("long")}
-    return F.transform(grams, lambda g: F.struct(
-        F.lit(n).alias("n"), g.alias("gram"), both["c"].alias("c"), both["r"].alias("r")))
+    both = F.struct(grams(c).alias("c"), grams(r).alias("r"))
+    return _let(both, lambda s: F.size(F.array_intersect(s["c"], s["r"])) + _let(further(s["r"]), lambda other: more(s["c"], other)))
+
+
+def gram_overlap(pairs: DataFrame, orders: int, tokens) -> DataFrame:
+    """``m1``, ``t1``, ``r1`` and so on per row of ``pairs``: clipped matches, candidate's and reference's n-grams.
+
+    Both texts stand in one row and are counted there, so nothing is exploded or exchanged.
+    """
+    hashes = lambda c: F.transform(tokens(F.col(c)), lambda w: F.xxhash64(w))
+    both = F.struct(hashes("candidate").alias("c"), hashes("reference").alias("r"))
+    grams = lambda side, n: F.greatest(F.size(side) - (n - 1), F.lit(0)).cast("long")
+    counts = _let(both, lambda s: F.struct(*[x for n in range(1, orders + 1) for x in (
+        _matches(s["c"], s["r"], n).alias(f"m{n}"), grams(s["c"], n).alias(f"t{n}"), grams(s["r"], n).alias(f"r{n}"))]))
+    return pairs.select("query_idx", counts.alias("counts")).select("query_idx", "counts.*")
 
 
 def bleu(pairs: DataFrame) -> DataFrame:
-    """Sentence BLEU in [0, 1]: effective order, exponential smoothing, brevity penalty."""
+    """Sentence BLEU in [0, 1]: effective order, exponential smoothing, brevity penalty; a row per pair."""
     stats = gram_overlap(pairs, ORDERS, bleu_tokens)
-    at = lambda column, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(column))), F.lit(0)).cast("double")
-    wide = stats.groupBy("query_idx").agg(
-        *[at("matched", n).alias(f"m{n}") for n in range(1, ORDERS + 1)],
-        *[at("candidate", n).alias(f"t{n}") for n in range(1, ORDERS + 1)],
-        at("reference", 1).alias("ref_len"))
     log_sum, order, doubled = F.lit(0.0), F.lit(0), F.lit(1.0)
     for n in range(1, ORDERS + 1):
-        m, t = F.col(f"m{n}"), F.col(f"t{n}")
+        m, t = F.col(f"m{n}").cast("double"), F.col(f"t{n}").cast("double")
         doubled = F.when((t > 0) & (m == 0), doubled * 2).otherwise(doubled)
         precision = F.when(m > 0, m / t).otherwise(1.0 / (doubled * t))
         log_sum = log_sum + F.when(t > 0, F.log(precision)).otherwise(0.0)
         order = order + (t > 0).cast("int")
-    brevity = F.when(F.col("t1") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("t1"))).otherwise(1.0)
+    brevity = F.when(F.col("t1") < F.col("r1"), F.exp(1 - F.col("r1") / F.col("t1"))).otherwise(1.0)
     any_match = sum((F.col(f"m{n}") for n in range(2, ORDERS + 1)), F.col("m1")) > 0
-    scored = wide.select("query_idx", F.when(any_match, brevity * F.exp(log_sum / order)).otherwise(0.0).alias("bleu"))
-    return pairs.select("query_idx").join(scored, "query_idx", "left").select("query_idx", F.coalesce("bleu", F.lit(0.0)).alias("bleu"))
+    return stats.select("query_idx", F.when(any_match, brevity * F.exp(log_sum / order)).otherwise(0.0).alias("bleu"))
 
 
 def _f_measure(matched: Column, candidate: Column, reference: Column) -> Column:
@@ -175,13 +190,9 @@ def _f_measure(matched: Column, candidate: Column, reference: Column) -> Column:
 
 
 def rouge_n(pairs: DataFrame) -> DataFrame:
-    """ROUGE-1 and ROUGE-2 F-measures."""
-    stats = gram_overlap(pairs, 2, rouge_tokens).withColumn(
-        "f", _f_measure(F.col("matched"), F.col("candidate"), F.col("reference")))
-    wide = stats.groupBy("query_idx").agg(
-        *[F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"rouge{n}_f") for n in (1, 2)])
-    return pairs.select("query_idx").join(wide, "query_idx", "left").select(
-        "query_idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rouge1_f", "rouge2_f")])
+    """ROUGE-1 and ROUGE-2 F-measures, a row per pair."""
+    stats = gram_overlap(pairs, 2, rouge_tokens)
+    return stats.select("query_idx", *[_f_measure(F.col(f"m{n}"), F.col(f"t{n}"), F.col(f"r{n}")).alias(f"rouge{n}_f") for n in (1, 2)])
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:

@@ -174,3 +174,22 @@ def test_metrics_count_calls_without_vectors_and_files_without_index(spark):
     vectors = spark.createDataFrame([("1", [1.0, 0.0])], "call string, vector array<double>")
     out = evaluate.retrieval_metrics(loaded.select("query_idx"), *evaluate.side_vectors(evaluate.sides(loaded), vectors)).first()
     assert (out.num_gt_calls, out.num_retrieved, out.recall, out.mrr) == (2, 1, 0.5, 1.0)
+
+
+def test_gram_matches_are_multiset_intersections(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    side = lambda: " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))
+    rows = [(i, side(), side()) for i in range(200)] + [(900, "a a a a", "a a"), (901, None, "a"), (902, "", ""), (903, "a b " * 500, "b a " * 700)]
+    pairs = spark.createDataFrame(rows, "query_idx long, candidate string, reference string")
+    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda w: w != "")
+    got = {r.query_idx: r for r in ev.gram_overlap(pairs, 3, split).collect()}
+    for i, c, r in rows:
+        c, r = (c or "").split(), r.split()
+        for n in (1, 2, 3):
+            a, b = (Counter(tuple(x[k:k + n]) for k in range(len(x) - n + 1)) for x in (c, r))
+            assert (got[i][f"m{n}"], got[i][f"t{n}"], got[i][f"r{n}"]) == ((a & b).total(), a.total(), b.total())
