@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import schema
+from ..session import materialize
+from .json_split import json_map_entries, json_objects
 
 CORRUPT = "_corrupt_record"
 
@@ -14,15 +16,14 @@ CORRUPT = "_corrupt_record"
 def read_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Nested calls from JSON array files (``multiline``) or JSON lines.
 
-    The schema is fixed; unreadable lines arrive as rows with ``_corrupt_record`` set.
-    One array file is one task, so a large corpus is better kept as lines or, after
-    :func:`store_corpus`, as Parquet.
+    The schema is fixed; unreadable values arrive as rows with ``_corrupt_record`` set.  Array files are cut at byte ranges like
+    lines are, so one file of any size is read by all tasks.
     """
-    return (
-        spark.read.schema(StructType([*schema.CALL.fields, StructField(CORRUPT, StringType())]))
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", multiline).json(path)
-    )
+    columns = StructType([*schema.CALL.fields, StructField(CORRUPT, StringType())])
+    if not multiline:
+        return spark.read.schema(columns).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    parsed = F.from_json("value", columns, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return json_objects(spark, path).select(parsed.alias("call")).select("call.*")
 
 
 def store_corpus(calls: DataFrame, path: str) -> DataFrame:
@@ -36,9 +37,15 @@ def write_lines(calls: DataFrame, path: str) -> None:
     calls.write.mode("overwrite").json(path)
 
 
-def lines_to_corpus(spark: SparkSession, lines_path: str, corpus_path: str) -> DataFrame:
-    """JSON lines to a stored corpus; blank lines are skipped."""
-    return store_corpus(read_corpus(spark, lines_path, multiline=False).drop(CORRUPT), corpus_path)
+def lines_to_corpus(spark: SparkSession, lines_path: str, corpus_path: str, rejects_path: str | None = None) -> DataFrame:
+    """JSON lines to a stored corpus; blank lines are skipped, unreadable ones go to ``rejects_path``, or fail the job without it."""
+    rows = materialize(read_corpus(spark, lines_path, multiline=False), "lines")
+    bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    if rejects_path is not None:
+        bad.write.mode("overwrite").parquet(rejects_path)
+    elif not bad.isEmpty():
+        raise ValueError(f"unreadable lines in {lines_path}, such as {bad.first()['line'][:200]!r}")
+    return store_corpus(rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), corpus_path)
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +69,7 @@ def write_by_field(rows: DataFrame, path: str) -> None:
 
 
 def read_embedding_map(spark: SparkSession, path: str) -> DataFrame:
-    """``{field: {transcript: {embeds, parents}}}`` files as rows."""
-    entry = "struct<embeds:array<double>,parent_l2_cluster:string,parent_l1_cluster:string>"
-    text = spark.read.text(path, wholetext=True)
-    return (
-        text.select(F.explode(F.from_json("value", f"map<string,map<string,{entry}>>")).alias("field", "items"))
-        .select("field", F.explode("items").alias("transcript_id", "e"))
-        .select("field", "transcript_id", "e.embeds", F.col("e.parent_l2_cluster").alias("l2_id"), F.col("e.parent_l1_cluster").alias("l1_id"))
-    )
+    """``{field: {transcript: {embeds, parents}}}`` files as rows; a file of any size is read by all tasks."""
+    entry = F.from_json("value", "embeds array<double>, parent_l2_cluster string, parent_l1_cluster string")
+    rows = json_map_entries(spark, path).select(F.col("outer").alias("field"), F.col("key").alias("transcript_id"), entry.alias("e"))
+    return rows.select("field", "transcript_id", "e.embeds", F.col("e.parent_l2_cluster").alias("l2_id"), F.col("e.parent_l1_cluster").alias("l1_id"))

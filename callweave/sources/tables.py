@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from .json_split import json_objects
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
@@ -37,8 +38,10 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_table(spark: SparkSession, path: str, columns: T.StructType, multiline: bool = True) -> DataFrame:
-    """A JSON array file, or JSON lines without ``multiline``, as a flat table."""
-    return spark.read.schema(columns).option("multiLine", multiline).json(path)
+    """JSON array files, read in ranges, or JSON lines without ``multiline``, as a flat table."""
+    if not multiline:
+        return spark.read.schema(columns).json(path)
+    return json_objects(spark, path).select(F.from_json("value", columns).alias("row")).select("row.*")
 
 
 def read_chats(spark: SparkSession, chats_path: str, messages_path: str) -> tuple[DataFrame, DataFrame]:

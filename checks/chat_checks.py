@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callweave import schema
@@ -267,20 +268,42 @@ def call_counts(calls):
         F.aggregate(said, F.lit(0).cast("long"), lambda s, u: s + F.length(u["utterance"])).alias("chars"))
 
 
+def write_values(rows, path, opening, closing):
+    """JSON files, one per ``file``: the texts ``body`` between ``opening`` and ``closing``, with commas between them."""
+    order, whole = Window.partitionBy("file").orderBy("body"), Window.partitionBy("file")
+    line = F.concat(
+        F.when(F.row_number().over(order) == 1, opening).otherwise(F.lit(",")), "body",
+        F.when(F.row_number().over(order) == F.count("*").over(whole), closing).otherwise(F.lit("")))
+    at = F.row_number().over(order).alias("at")
+    rows.select(line.alias("value"), "file", at).sortWithinPartitions("file", "at").drop("at").write.partitionBy("file").text(path)
+
+
 @check("scan_calls", CALL_COUNTS)
 def scan_calls(spark, sf):
     path = fresh_path(spark, "array")
-    # Array files as raw corpora arrive, each of at most 64 calls.
-    calls = v.calls_conv(spark, sf).withColumn("file", F.floor(F.col("transcript_id").cast("long") / 64))
-    keyed = calls.withColumn("transcript_id", F.concat_ws("#", "transcript_id", "part")).withColumn(
-        "file", F.concat_ws("-", "file", "part")).drop("part")
-    body = F.to_json(F.struct(*[c for c in keyed.columns if c != "file"]))
-    arrays = keyed.groupBy("file").agg(F.array_join(F.collect_list(body), ",\n").alias("body"))
-    arrays.select(F.concat(F.lit("["), "body", F.lit("]")).alias("value"), "file").write.partitionBy("file").text(path)
+    # Array files as raw corpora arrive; a file may be as large as it likes.
+    calls = v.calls_conv(spark, sf).withColumn("transcript_id", F.concat_ws("#", "transcript_id", "part")).drop("part")
+    body = F.to_json(F.struct(*calls.columns))
+    write_values(calls.select(body.alias("body"), F.pmod(F.xxhash64("transcript_id"), F.lit(4)).alias("file")), path, F.lit("["), F.lit("]"))
     stored = corpus.store_corpus(corpus.read_corpus(spark, f"{path}/*").drop(corpus.CORRUPT), fresh_path(spark, "corpus"))
     return call_counts(stored)
 
 
+@check("embedding_map", """
+SELECT field, cast(vec_id AS VARCHAR) AS transcript_id, len(v) AS n, round(list_sum(v), 5) AS total, field || '_L2_' || l2 AS l2_id, field || '_L1_' || l1 AS l1_id
+FROM vec_members""")
+def embedding_map(spark, sf):
+    path = fresh_path(spark, "map")
+    entry = F.struct(F.col("vector").alias("embeds"), fx.cluster_id(F.col("field"), "L2", F.col("l2")).alias("parent_l2_cluster"),
+                     fx.cluster_id(F.col("field"), "L1", F.col("l1")).alias("parent_l1_cluster"))
+    body = F.concat(F.lit('"'), F.col("vec_id").cast("string"), F.lit('": '), F.to_json(entry))
+    write_values(v.vec_members(spark, sf).select(body.alias("body"), F.col("field").alias("file")), path,
+                 F.concat(F.lit('{"none": {}, "'), "file", F.lit('": {')), F.lit("}}"))
+    rows = corpus.read_embedding_map(spark, f"{path}/*")
+    total = F.aggregate("embeds", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("field", "transcript_id", F.size("embeds").cast("long").alias("n"), F.round(total, 5).alias("total"), "l2_id", "l1_id")
+
+
 @check("jsonl_round_trip", CALL_COUNTS)
 def jsonl_round_trip(spark, sf):
     path = fresh_path(spark, "lines")
@@ -340,6 +363,15 @@ def json_table(spark, sf):
     return tables.read_json_table(spark, path, schema.MESSAGE, multiline=False).select("id", "role", "content")
 
 
+@check("json_array_table", "SELECT id, role, content FROM messages")
+def json_array_table(spark, sf):
+    path = fresh_path(spark, "json-array")
+    messages = vc.messages(spark, sf)
+    body = F.to_json(F.struct(*messages.columns))
+    write_values(messages.select(body.alias("body"), F.lit(0).alias("file")), path, F.lit("["), F.lit("]"))
+    return tables.read_json_table(spark, f"{path}/*", schema.MESSAGE).select("id", "role", "content")
+
+
 @check("chat_tables", "SELECT m.id, m.chat_id, c.title, m.role FROM messages m JOIN chats c ON c.id = m.chat_id")
 def chat_tables(spark, sf):
     base = fresh_path(spark, "chats")

@@ -187,7 +187,7 @@ def test_gram_matches_are_multiset_intersections(spark):
     rows = [(i, side(), side()) for i in range(200)] + [(900, "a a a a", "a a"), (901, None, "a"), (902, "", ""), (903, "a b " * 500, "b a " * 700)]
     pairs = spark.createDataFrame(rows, "query_idx long, candidate string, reference string")
     split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda w: w != "")
-    got = {r.query_idx: r for r in ev.gram_overlap(pairs, 3, split).collect()}
+    got = {r.query_idx: r for r in evaluate.gram_overlap(pairs, 3, split).collect()}
     for i, c, r in rows:
         c, r = (c or "").split(), r.split()
         for n in (1, 2, 3):
