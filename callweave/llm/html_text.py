@@ -271,6 +271,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shared = stored(shared.select("host", "name", "bodies"), "shared")
     mine = held.join(shared, ["host", "name"]).groupBy("host", "content").agg(F.collect_set(F.struct("name", "bodies")).alias("shared"))
     mine = stored(mine, "covered").withColumnsRenamed({"host": "h", "content": "c"})
-    judged = parsed.join(mine, (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")), "left")
+    # A page none of whose runs holds a candidate cannot lose one: its text crosses no exchange.
+    touched = F.exists("runs", lambda r: r["end"] > r["first"])
+    columns = ["page_id", "url", "blocks", "runs"]
+    judged = parsed.filter(touched).join(mine, (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")), "left").select(*columns, "shared")
+    whole = parsed.filter(~touched).select(*columns, F.lit(None).cast(judged.schema["shared"].dataType).alias("shared"))
     release(held, shared)
-    return judged.select("page_id", "url", "blocks", "runs", "shared").mapInArrow(_judged, f"page_id {kind}, url string, text string")
+    return whole.union(judged).mapInArrow(_judged, f"page_id {kind}, url string, text string")
