@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from ..session import materialize
+from .csv_split import csv_header, csv_records, csv_rows
 from .json_split import json_objects
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -22,19 +24,27 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
-    return spark.read.schema(columns).options(**CSV_OPTIONS).csv(path)
+    """CSV files with a header as rows of ``columns``, by position, read in ranges."""
+    return csv_rows(csv_records(spark, path), columns).select(*columns.names)
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """An evaluation file by its header: known columns as text, in any order, numbered by ``query_idx`` if it has none.
+    """Evaluation files by their header: known columns as text, in any order, numbered by ``query_idx``.
 
-    Cells may hold line ends, so one task reads a file; convert large ones to Parquet once.
+    Without that column the rows are numbered from 0 in the order of the files and their records.  Files are read in ranges.
     """
-    rows = spark.read.options(**CSV_OPTIONS).csv(path)
-    rows = rows.select(*(c for c in schema.EVALUATION.names if c in rows.columns))
-    if "query_idx" in rows.columns:
-        return rows.withColumn("query_idx", F.col("query_idx").cast("long"))
-    return rows.select(F.monotonically_increasing_id().alias("query_idx"), "*")
+    records = materialize(csv_records(spark, path), "records")
+    header = csv_header(records)
+    # Columns are taken by place, so names that are unknown, or come twice, do no harm.
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    rows = csv_rows(records, cells) if header else records.filter("false")
+    known = [F.col(f"c{header.index(c)}").alias(c) for c in schema.EVALUATION.names if c in header]
+    if "query_idx" in header:
+        return rows.select(*known).withColumn("query_idx", F.col("query_idx").cast("long"))
+    # One row per file; its header is a record too.
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = records.groupBy("file").agg((F.count("*") - 1).alias("n")).select("file", earlier.alias("earlier"))
+    return rows.join(files, "file").select((F.col("earlier") + F.col("number") - 1).alias("query_idx"), *known)
 
 
 def read_json_table(spark: SparkSession, path: str, columns: T.StructType, multiline: bool = True) -> DataFrame:
