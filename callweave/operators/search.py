@@ -207,6 +207,18 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return top_k(fused, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
+def fuse_legs(legs: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion that also tells the rank of an item in every leg, null where the leg did not find it."""
+    rows = None
+    for name, ranking in legs.items():
+        part = ranking.select("query_id", "item_id", F.lit(name).alias("leg"), F.col("rank").cast("long").alias("rank"))
+        rows = part if rows is None else rows.unionByName(part)
+    fused = rows.groupBy("query_id", "item_id").agg(
+        F.round(F.sum(1.0 / (constant + F.col("rank"))), 12).alias("score"),
+        *[F.min(F.when(F.col("leg") == name, F.col("rank"))).alias(f"{name}_rank") for name in legs])
+    return top_k(fused, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
 def text_vectors(docs: DataFrame) -> DataFrame:
     """Vectors for texts that come without any, one row per component: ``(item_id, term, weight)``.
 

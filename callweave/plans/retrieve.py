@@ -12,7 +12,7 @@ from ..operators.joins import bounded_broadcast
 from ..operators.mmr import mmr
 from ..operators.ppr import ppr_scores, ppr_top, stored_candidates
 from ..operators.scan import positions, range_blocks
-from ..operators.search import pair_bm25, rerank
+from ..operators.search import bm25_topk, cosine_topk, fuse_legs, pair_bm25, rerank
 from ..session import materialize
 
 
@@ -142,6 +142,25 @@ def graph_retrieve(adjacency: DataFrame, questions: DataFrame, pruned: DataFrame
     )
 
 
+def hybrid_retrieve(
+    questions: DataFrame, calls: DataFrame, adjacency: DataFrame, wanted: DataFrame, pruned: DataFrame | None = None, k: int = 10,
+    depth: int = 20
+) -> DataFrame:
+    """Calls by the fused ranks of three legs: words, vectors and the graph.
+
+    ``questions`` are ``(query_id, text, vector)`` and ``calls`` ``(transcript_id, text, vector)``; ``adjacency``, ``wanted`` and
+    ``pruned`` are those of ``graph_retrieve``.  Every leg ranks ``depth`` calls.  A question or call without text, vector or
+    drivers takes no part in that leg and keeps the others; its rank there is null.
+    """
+    docs = calls.withColumnRenamed("transcript_id", "item_id")
+    words = bm25_topk(
+        docs.select(F.col("item_id").alias("doc_id"), "text").filter("text IS NOT NULL"),
+        questions.select("query_id", "text").filter("text IS NOT NULL"), depth).withColumnRenamed("doc_id", "item_id")
+    near = cosine_topk(docs.select("item_id", "vector"), questions.select("query_id", "vector"), depth)
+    walked = graph_retrieve(adjacency, wanted, pruned, depth).withColumnRenamed("transcript_id", "item_id")
+    return fuse_legs({"keyword": words, "vector": near, "graph": walked}, k).withColumnRenamed("item_id", "transcript_id")
+
+
 def rerank_by_text(retrieved: DataFrame, utterances: DataFrame, queries: DataFrame, final_k: int = 10) -> DataFrame:
     """Second-stage order of retrieved calls by the text they share with the question.
 

@@ -252,6 +252,50 @@ def hybrid_rank(spark, sf):
         "query_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast(LONG).alias("rank"))
 
 
+HYBRID = [
+    ("call_text", "SELECT transcript_id, string_agg(utterance, ' ' ORDER BY pair_index) AS text FROM named_hits GROUP BY 1"),
+    ("call_words", r"SELECT transcript_id, regexp_extract_all(lower(text), '\p{L}+') AS words FROM call_text"),
+    ("call_tf", "SELECT transcript_id, term, count(*)::DOUBLE AS tf FROM (SELECT transcript_id, unnest(words) AS term FROM call_words) GROUP BY 1, 2"),
+    ("call_len", "SELECT transcript_id, len(words)::DOUBLE AS len FROM call_words"),
+    ("asked_terms", r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM question_text"),
+    ("call_idf", "SELECT term, ln(1 + ((SELECT count(*) FROM call_words) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM call_tf GROUP BY 1"),
+    ("word_leg", """SELECT query_id, transcript_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, transcript_id) AS rank FROM (
+        SELECT query_id, transcript_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM call_len)))) AS score
+        FROM asked_terms JOIN call_idf USING (term) JOIN call_tf USING (term) JOIN call_len USING (transcript_id) GROUP BY 1, 2)"""),
+    ("vector_leg", """SELECT query_id, transcript_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, transcript_id) AS rank FROM (
+        SELECT query_id, cast(o_orderkey AS VARCHAR) AS transcript_id, round(list_cosine_similarity(query_vector, embedding::DOUBLE[]), 12) AS score
+        FROM question_vectors, orders JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings))"""),
+    *ppr_ctes("unmasked_candidates"),
+    ("graph_leg", "SELECT query_id, transcript_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ppr_score, 12) DESC, transcript_id) AS rank FROM final"),
+]
+
+
+def call_texts(spark, sf):
+    """``(transcript_id, text, vector)`` of calls with lines; an order has few."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct("pair_index", "utterance"))), lambda s: s["utterance"])
+    texts = named_hits(spark, sf).groupBy("transcript_id").agg(F.array_join(said, " ").alias("text"))
+    items = v.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    placed = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("transcript_id"), (F.col("o_orderkey") % items.count()).alias("vec_id"))
+    return texts.join(placed.join(items, "vec_id").drop("vec_id"), "transcript_id", "full")
+
+
+@check("hybrid_retrieve", """
+SELECT query_id, transcript_id, round(score, 6) AS score, cast(rank AS BIGINT) AS rank, keyword_rank, vector_rank, graph_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, transcript_id) AS rank FROM (
+    SELECT query_id, transcript_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) FILTER (leg = 'w') AS keyword_rank,
+           min(rank) FILTER (leg = 'v') AS vector_rank, min(rank) FILTER (leg = 'g') AS graph_rank
+    FROM (SELECT 'w' AS leg, * FROM word_leg UNION ALL SELECT 'v', * FROM vector_leg UNION ALL SELECT 'g', * FROM graph_leg)
+    WHERE rank <= 20 GROUP BY 1, 2)) WHERE rank <= 10""", extra=HYBRID)
+def hybrid_retrieve(spark, sf):
+    questions = question_text(spark, sf).join(
+        v.question_vectors(spark, sf).withColumnRenamed("query_vector", "vector"), "query_id", "left")
+    calls = materialize(call_texts(spark, sf), "call-texts")
+    found = retrieve.hybrid_retrieve(materialize(questions, "asked"), calls, adjacency_star(spark, sf), questions_star(spark, sf))
+    return found.select("query_id", "transcript_id", F.round("score", 6).alias("score"), F.col("rank").cast(LONG).alias("rank"),
+                        "keyword_rank", "vector_rank", "graph_rank")
+
+
 # --- report tables -----------------------------------------------------------------
 
 view("seed_calls", """
