@@ -8,12 +8,15 @@ their pieces go to the tokenizer's own model; every other word goes through the
 from __future__ import annotations
 
 import re
+from sys import getsizeof
 
 import regex
 from tokenizers import Tokenizer
 
-#: Words and pieces that a worker's tables hold.  Full tables take nothing new: what is frequent came early.
-WORDS, PARTS = 1 << 19, 1 << 19
+#: Bytes that a worker's tables of words and of pieces hold.  Full tables take nothing new: what is frequent came early.
+WORDS, PARTS = 40 << 20, 20 << 20
+#: Characters of the longest word held, and bytes of a place in a table.
+LONGEST, PLACE = 256, 64
 #: Characters below U+0180 without U+0130: composed already, and lower-cased one by one.
 LATIN = re.compile("[\0-įı-ſ]*").fullmatch
 #: Fixed value: the split pattern of the tokenizer file.
@@ -31,16 +34,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Held(dict):
-    """Computed values, kept up to a limit."""
+    """Computed values, kept up to a limit in bytes; those of long words are not kept."""
 
     def __init__(self, limit: int, compute):
         super().__init__()
-        self.limit, self.compute = limit, compute
+        self.room, self.compute = limit, compute
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) < self.limit:
+        if self.room > 0 and len(key) <= LONGEST:
             self[key] = value
+            self.room -= getsizeof(key) + getsizeof(value) + PLACE
         return value
 
 

@@ -94,6 +94,23 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_tables_are_bounded_by_bytes(monkeypatch):
+    from sys import getsizeof
+
+    from callweave.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "WORDS", 20_000)
+    monkeypatch.setattr(word_tokens, "PARTS", 10_000)
+    own, whole = word_tokens.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = [" ".join(f"w{i}x{k}," for i in range(200)) for k in range(5)] + ["a" * 5000 + "1" * 3000, "zz" * 400 + " b", ""]
+    for text in texts * 2:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+    for held, limit in ((own.words, 20_000), (own.parts, 10_000)):
+        assert held and max(map(len, held)) <= word_tokens.LONGEST
+        assert sum(getsizeof(k) + getsizeof(v) for k, v in held.items()) < limit + 2_000
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing(spark, capacity):
     rows, whole = odd_rows(3), Tokenizer.from_file(WORDS)
