@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_rows
 from ..session import materialize
 from .joins import bounded_broadcast, top_k
 
-#: Rows of a block and queries of a page: what one task holds of each.
-BLOCK_ROWS, PAGE_QUERIES = 20_000, 2_000
+#: Rows of a block, term counts of a block and queries of a page: what one task holds of each.
+BLOCK_ROWS, BLOCK_CELLS, PAGE_QUERIES = 20_000, 2_000_000, 2_000
 
 
-def _blocked(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, n_rows: int, n_queries: int):
+def _blocked(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, n_rows: int, n_queries: int, n_cells: int = 0):
     """Groups of rows by ``(block, page)`` and of queries by the same, for a cogroup in which both sides are bounded.
 
     Rows are dealt to blocks and queries to pages by hash; every block meets every page once, in one task.
     """
-    blocks, pages = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // PAGE_QUERIES))
+    blocks, pages = max(1, -(-n_rows // BLOCK_ROWS), -(-n_cells // BLOCK_CELLS)), max(1, -(-n_queries // PAGE_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = rows.withColumn("_block", F.pmod(F.xxhash64(row_key), F.lit(blocks))).withColumn("_page", every(pages))
     right = queries.withColumn("_page", F.pmod(F.xxhash64(query_key), F.lit(pages))).withColumn("_block", every(blocks))
@@ -40,35 +40,45 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold:
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vectors, queries = (df.filter(vector.isNotNull() & F.forall(vector.cast("array<double>"), number)) for df in (vectors, queries))
 
+    def matrix(table):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        column = table.column("vector").combine_chunks()
+        if pc.count_distinct(lengths := pc.list_value_length(column)).as_py() > 1:
+            raise ValueError("vectors must have one length")
+        out = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), lengths[0].as_py())
+        size = np.linalg.norm(out, axis=1)
+        return out / np.where(size == 0, 1.0, size)[:, None]
+
     def score(rows, asked):
         import numpy as np
-        import pandas as pd
-
-        empty = pd.DataFrame({"query_id": asked["query_id"][:0], "item_id": rows["item_id"][:0], "score": np.zeros(0)})
-        if not len(rows) or not len(asked):
-            return empty
-        matrix, wanted = (np.vstack(x["vector"].to_numpy()).astype(float) for x in (rows, asked))
-        for m in (matrix, wanted):
-            size = np.linalg.norm(m, axis=1)
-            m /= np.where(size == 0, 1.0, size)[:, None]
-        ids, out = rows["item_id"].to_numpy(), []
-        for at in range(0, len(wanted), 64):
-            sims = np.round(wanted[at:at + 64] @ matrix.T, 12)
-            for q, line in enumerate(sims, at):
-                keep = np.arange(len(line)) if threshold is None else np.flatnonzero(line >= threshold)
-                if len(keep) > k:
-                    cut = np.partition(line[keep], len(keep) - k)[len(keep) - k]
-                    keep = keep[line[keep] >= cut]
-                keep = keep[np.lexsort((ids[keep], -line[keep]))][:k]
-                out.append((np.full(len(keep), q), keep, line[keep]))
-        at, keep, sims = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[at], "item_id": ids[keep], "score": sims})
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = []
+        # Ties go to the smaller id, so rows come in the order of their ids.
+        rows = rows.take(pc.sort_indices(rows, [("item_id", "ascending")], null_placement="at_start"))
+        if len(rows) and len(asked):
+            items, wanted = matrix(rows), matrix(asked)
+            for at in range(0, len(wanted), 64):
+                sims = np.round(wanted[at:at + 64] @ items.T, 12)
+                for q, line in enumerate(sims, at):
+                    keep = np.arange(len(line)) if threshold is None else np.flatnonzero(line >= threshold)
+                    if len(keep) > k:
+                        cut = np.partition(line[keep], len(keep) - k)[len(keep) - k]
+                        keep = keep[line[keep] >= cut]
+                    keep = keep[np.argsort(-line[keep], kind="stable")][:k]
+                    out.append((np.full(len(keep), q), keep, line[keep]))
+        at, keep, sims = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([asked.column("query_id").take(pa.array(at)), rows.column("item_id").take(pa.array(keep)), pa.array(sims)],
+                        ["query_id", "item_id", "score"])
 
     queries = materialize(queries.select("query_id", "vector"), "queries")
     rows = vectors.select("item_id", "vector")
     schema = f"query_id {_type(queries, 'query_id')}, item_id {_type(vectors, 'item_id')}, score double"
     pairs = _blocked(rows, "item_id", queries, "query_id", rows.select("item_id").count(), queries.count())
-    return top_k(pairs.applyInPandas(score, schema), ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+    return top_k(pairs.applyInArrow(score, schema), ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
 # --- keyword search ----------------------------------------------------------------
@@ -114,34 +124,41 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
 
     def score(rows, asked):
         import numpy as np
-        import pandas as pd
-
-        out = {"query_id": [], "doc_id": [], "score": []}
-        if len(rows) and len(asked):
-            terms = {t: i for i, t in enumerate(asked["term"].unique())}
-            wanted = asked["query_id"].unique()
-            weight = np.zeros((len(wanted), len(terms)))
-            place = {q: i for i, q in enumerate(wanted)}
-            weight[[place[q] for q in asked["query_id"]], [terms[t] for t in asked["term"]]] = asked["idf"]
-            at = [(d, terms[x["term"]], x["gain"]) for d, found in enumerate(rows["found"]) for x in found if x["term"] in terms]
-            ids = rows["doc_id"].to_numpy()
-            if at:
-                doc, term, gain = (np.array(x) for x in zip(*at))
-                first = np.searchsorted(doc, np.arange(len(ids) + 1))
-                for lo in range(0, len(ids), 512):
-                    hi = min(lo + 512, len(ids))
-                    part = slice(first[lo], first[hi])
-                    grid = np.zeros((hi - lo, len(terms)))
-                    grid[doc[part] - lo, term[part]] = gain[part]
-                    shared = (grid > 0).astype(np.float32) @ (weight > 0).astype(np.float32).T > 0
-                    scores = grid @ weight.T
-                    for q in np.flatnonzero(shared.any(axis=0)):
-                        keep = np.flatnonzero(shared[:, q])
-                        keep = keep[np.lexsort((ids[lo:hi][keep], -np.round(scores[keep, q], 9)))][:k]
-                        out["query_id"] += [wanted[q]] * len(keep)
-                        out["doc_id"] += ids[lo:hi][keep].tolist()
-                        out["score"] += scores[keep, q].tolist()
-        return pd.DataFrame(out)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # Ties go to the smaller id, so rows come in the order of their ids.
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending")], null_placement="at_start"))
+        found, terms = rows.column("found").combine_chunks(), pc.unique(asked.column("term"))
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        cells = found.flatten()
+        # Terms that only other pages ask for stand behind the last column.
+        place = pc.fill_null(pc.index_in(cells.field("term"), value_set=terms), len(terms)).to_numpy(zero_copy_only=False)
+        gain = cells.field("gain").to_numpy(zero_copy_only=False)
+        wanted = pc.dictionary_encode(asked.column("query_id"), null_encoding="encode").combine_chunks()
+        n = len(wanted.dictionary)
+        weight = np.zeros((n, len(terms) + 1))
+        weight[wanted.indices.to_numpy(zero_copy_only=False), pc.index_in(asked.column("term"), value_set=terms).to_numpy()] = asked.column("idf").to_numpy()
+        wants = (weight > 0).astype(np.float32)
+        order, exact, which = np.full((n, k), -np.inf), np.zeros((n, k)), np.full((n, k), -1)
+        for lo in range(0, len(rows) if n else 0, 512):
+            hi = min(lo + 512, len(rows))
+            part = slice(first[lo], first[hi])
+            grid = np.zeros((hi - lo, len(terms) + 1))
+            grid[np.repeat(np.arange(hi - lo), np.diff(first[lo:hi + 1])), place[part]] = gain[part]
+            scores = weight @ grid.T
+            rounded = np.where(wants @ (grid > 0).astype(np.float32).T > 0, np.round(scores, 9), -np.inf)
+            at = np.flatnonzero((rounded > order[:, -1:]).any(axis=1))
+            if len(at):
+                order_at = np.concatenate((order[at], rounded[at]), axis=1)
+                best = np.argsort(-order_at, axis=1, kind="stable")[:, :k]
+                take = lambda x: np.take_along_axis(x, best, axis=1)
+                order[at] = take(order_at)
+                exact[at] = take(np.concatenate((exact[at], scores[at]), axis=1))
+                which[at] = take(np.concatenate((which[at], np.broadcast_to(np.arange(lo, hi), (len(at), hi - lo))), axis=1))
+        q, rank = np.nonzero(order > -np.inf)
+        return pa.table([wanted.dictionary.take(pa.array(q)), rows.column("doc_id").take(pa.array(which[q, rank])), pa.array(exact[q, rank])],
+                        ["query_id", "doc_id", "score"])
 
     asked = materialize(query_terms(queries), "asked")
     sizes = docs.agg(
@@ -157,8 +174,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     asked = materialize(asked.join(idf, "term"), "weighted")
     schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(docs, 'doc_id')}, score double"
     pages = asked.select("query_id").distinct().count()
-    pairs = _blocked(index, "doc_id", asked, "query_id", index.count(), pages)
-    return top_k(pairs.applyInPandas(score, schema), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+    size = index.agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("cells")).first()
+    pairs = _blocked(index, "doc_id", asked, "query_id", size["n"], pages, size["cells"] or 0)
+    return top_k(pairs.applyInArrow(score, schema), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
 
 
 def pair_bm25(
@@ -223,12 +241,16 @@ def text_vectors(docs: DataFrame) -> DataFrame:
     """Vectors for texts that come without any, one row per component: ``(item_id, term, weight)``.
 
     Every word is a dimension of its own, weighted by count and rarity; a text's weights have unit length.  A text of
-    words that all texts have, or without words, has no component.
+    words that all texts have, or without words, has no component.  Texts are brought together by id once; their words are
+    counted, weighted and measured where they lie, unless there are too many words to send their rarity to every task.
     """
-    counts = materialize(word_rows(docs.select("item_id", "text"), ["item_id"]).groupBy("item_id", "term").agg(
-        F.count("*").alias("tf")), "counts")
-    n = docs.count()
-    rarity = counts.groupBy("term").agg(F.log((F.lit(n) + 1.0) / (F.count("*") + 1.0)).alias("rarity"))
-    weighted = materialize(counts.join(rarity, "term").select("item_id", "term", (F.col("tf") * F.col("rarity")).alias("weight")), "weights")
-    lengths = weighted.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")).filter("length > 0")
-    return weighted.filter("weight > 0").join(lengths, "item_id").select("item_id", "term", (F.col("weight") / F.col("length")).alias("weight"))
+    docs = docs.select("item_id", "text")
+    texts = docs.filter("item_id is not null").repartition("item_id")
+    counts = word_rows(texts, ["item_id"]).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    # Rows without an id count as one text and have no component.
+    nameless = word_rows(docs.filter("item_id is null"), ["item_id"]).select("term").distinct()
+    rarity = materialize(counts.select("term").unionByName(nameless).groupBy("term").agg(
+        F.log((F.lit(docs.count()) + 1.0) / (F.count("*") + 1.0)).alias("rarity")), "rarity")
+    weighted = counts.join(rarity, "term").select("item_id", "term", (F.col("tf") * F.col("rarity")).alias("weight")).filter("weight > 0")
+    length = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("item_id")))
+    return weighted.withColumn("length", length).filter("length > 0").select("item_id", "term", (F.col("weight") / F.col("length")).alias("weight"))

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from callweave.operators import search, ward
@@ -175,3 +176,49 @@ def test_fewer_picks_for_some_questions(spark):
     of = lambda df, q: {r.l1_id for r in df.collect() if r.query_id == q}
     assert of(heads, "open") == of(alone, "open") and len(of(heads, "masked")) == 4
     assert kids.filter("query_id = 'open'").count() == 6
+
+
+def test_ward_searches_many_blocks_in_one_task(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(60, 5)) + np.repeat([0.0, 40.0, 0.5], 20)[:, None]
+    rows = pd.DataFrame({"field": "f", "block": np.repeat([1, 2, 3], 20), "point": np.arange(60), "vector": list(vectors),
+                         "weight": rng.integers(1, 5, 60).astype(float), "height": np.inf})
+    weight = rows["weight"].to_numpy()
+    costs = ward._costs(vectors, weight, vectors, weight)
+    asked = rows[:20]
+    found = ward._nearest_in_group(asked, rows[20:].sample(frac=1, random_state=1))
+    assert (found["height"].to_numpy() == costs[:20, 20:].min(axis=1)).all()
+    assert (found["nearest"].to_numpy() == 20 + costs[:20, 20:].argmin(axis=1)).all()
+    known = asked.assign(height=costs[:20, 40:].min(axis=1))
+    assert set(ward._nearest_in_group(known, rows[20:])["compared"]) == {20}  # the far block is skipped
+    assert ward._nearest_in_group(asked, rows[:20])["height"].eq(np.inf).all()  # its own block was searched before
+
+
+def test_ward_in_groups_of_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ward, "GROUP", 30)
+    points = np.random.default_rng(6).normal(size=(90, 3))
+    assert parts(ward.cluster_vectors(vector_rows(spark, points), 6, 40, 8).collect()) == brute_ward(points, 6)
+
+
+def test_keyword_blocks_are_bounded_by_term_counts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + int(x))}" for x in rng.integers(0, 9, 12))) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{chr(97 + i)} w{chr(98 + i)} zz") for i in range(6)], "query_id long, text string")
+    run = lambda: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search.bm25_topk(docs, queries, 5).collect())
+    whole = run()
+    monkeypatch.setattr(search, "BLOCK_CELLS", 25)
+    monkeypatch.setattr(search, "PAGE_QUERIES", 2)
+    assert run() == whole and len(whole) == 30
+
+
+def test_text_vectors_bring_texts_together_once(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (2, "c d"), (3, None), (None, "d d"), (None, "e")], "item_id long, text string")
+    found = search.text_vectors(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Aggregate") == 1
+    tf = {1: {"a": 1, "b": 2}, 2: {"a": 1, "c": 2, "d": 1}}
+    df = {"a": 2, "b": 1, "c": 1, "d": 2}
+    want = {i: {t: n * np.log(7 / (df[t] + 1)) for t, n in terms.items()} for i, terms in tf.items()}
+    got = {(r.item_id, r.term): r.weight for r in found.collect()}
+    assert got.keys() == {(i, t) for i in want for t in want[i]}
+    assert all(abs(got[i, t] - want[i][t] / np.sqrt(sum(x * x for x in want[i].values()))) < 1e-12 for i, t in got)
