@@ -193,3 +193,38 @@ def test_gram_matches_are_multiset_intersections(spark):
         for n in (1, 2, 3):
             a, b = (Counter(tuple(x[k:k + n]) for k in range(len(x) - n + 1)) for x in (c, r))
             assert (got[i][f"m{n}"], got[i][f"t{n}"], got[i][f"r{n}"]) == ((a & b).total(), a.total(), b.total())
+
+
+def test_bleu_tokens_follow_the_rules(spark):
+    import re
+
+    texts = ['a-\nb &quot;x&quot; &amp;lt; 5-6 3.5 3., .5,. a.b,c', '  ..  ,, - "(x)" {y}~ [z]_` $5 #1 %&+ 7- -7 : ; <=> ?@ / end.', "ä. ö,ü\t\x0bq  -\n\n", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in rows.select("t", evaluate.bleu_tokens(F.col("t")).alias("got")).collect():
+        out = f" {r.t or ''} "
+        for pattern, replacement in evaluate.TOKEN_RULES:
+            out = re.sub(pattern, replacement.replace("$", "\\"), out)
+        assert r.got == re.split(r"[ \t\n\x0b\f\r]+", out.strip(" \t\n\x0b\f\r")) or (r.got == [] and not out.strip())
+
+
+def test_grams_of_a_batch_are_counted_together(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts = [tuple(" ".join(rng.choice(list("abcd"), rng.integers(0, 30))) for _ in range(2)) for _ in range(300)]
+    pairs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "query_idx long, candidate string, reference string").coalesce(1)
+    counted = evaluate.gram_overlap(pairs, 4, lambda c: F.filter(F.split(c, " "), lambda w: w != ""))
+    assert "MapInArrow" in counted._jdf.queryExecution().optimizedPlan().toString()
+    for r in counted.collect():
+        for n in range(1, 5):
+            c, x = (Counter(tuple(t.split()[i:i + n]) for i in range(len(t.split()) - n + 1)) for t in texts[r.query_idx])
+            assert (r[f"m{n}"], r[f"t{n}"], r[f"r{n}"]) == (sum((c & x).values()), sum(c.values()), sum(x.values()))
+
+
+def test_the_report_reads_its_file_once(spark):
+    from checks import eval_checks
+
+    plan = eval_checks.report_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "csv" not in plan.lower()
