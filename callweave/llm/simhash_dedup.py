@@ -30,6 +30,8 @@ CELL = 1 << 16
 STEP = 4
 #: Shingles whose bits are counted at once, and node pairs that are walked at once.
 SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 1 << 18
+#: Links of a cell that are sorted by distance at once.
+LINKS_AT_ONCE = 1 << 22
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -61,11 +63,22 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_hash long, print long")
 
 
-def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int) -> Iterator[tuple]:
+def budgets(bits: int, turns: int = 1) -> np.ndarray:
+    """Bits in which two paths may differ down to every depth, so that one of ``turns`` rotations keeps each pair of ``bits``.
+
+    Cut into ``turns`` equal windows, any circle of ``bits`` differing bits has a window to start at from which no run of windows holds
+    more than its share, so a walk over every rotation may leave a pair of paths as soon as it does.
+    """
+    width = 64 // turns
+    return np.array([bits * -(-depth // width) // turns for depth in range(65)])
+
+
+def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int, allowed: np.ndarray | None = None) -> Iterator[tuple]:
     """Links between sorted unsigned arrays (or within ``a``), as pairs of positions, by walking trie node pairs.
 
-    A node is a range of a sorted array whose numbers share ``depth`` leading bits.
+    A node is a range of a sorted array whose numbers share ``depth`` leading bits; ``allowed`` errors down to a depth, else ``bits``.
     """
+    allowed = budgets(bits) if allowed is None else allowed
     own = b is None
     other = a if own else b
     stack = [tuple(np.array([x], np.int64) for x in (0, len(a), 0, len(other), depth, error))]
@@ -92,7 +105,7 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int
             steps[3] = (am, np.where(same, am, a1), b0, bm, err + 1)
         parts = []
         for p0, p1, q0, q1, e in steps:
-            live = (p1 > p0) & (q1 > q0) & (e <= bits)
+            live = (p1 > p0) & (q1 > q0) & (e <= allowed[np.minimum(deep + 1, 64)])
             parts.append(tuple(x[live] for x in (p0, p1, q0, q1, deep + 1, e)))
         stack.append(tuple(np.concatenate(x) for x in zip(*parts)))
 
@@ -141,15 +154,31 @@ class Forest:
             root = above
 
 
-def _cell_links(table: pa.Table, bits: int) -> pa.Table:
+def _cell_links(table: pa.Table, bits: int, turns: int = 1) -> pa.Table:
     side = table.column("side").to_numpy()
     prints = table.column("print").to_numpy().view(np.uint64)
     a, b = np.sort(prints[side == 0]), np.sort(prints[side == 1])
     alone = bool(table.column("alone")[0].as_py())
     forest = Forest(len(a) + len(b))
-    for i, j in _walk(a, None if alone else b, 0, 0, bits):
-        forest.add(i, j if alone else j + len(a))
-    every = np.concatenate((a, b)).view(np.int64)
+    every = np.concatenate((a, b))
+
+    def add(found: list) -> None:
+        """The nearest of the found links join trees first."""
+        i, j = (np.concatenate(x) for x in zip(*found))
+        apart = np.bitwise_count(every[i] ^ every[j])
+        for distance in range(bits + 1):
+            forest.add(i[apart == distance], j[apart == distance])
+
+    found, held = [], 0
+    for i, j in _walk(a, None if alone else b, 0, 0, bits, budgets(bits, turns)):
+        found.append((i, j if alone else j + len(a)))
+        held += len(i)
+        if held > LINKS_AT_ONCE:
+            add(found)
+            found, held = [], 0
+    if found:
+        add(found)
+    every = every.view(np.int64)
     links = [np.concatenate(x) for x in zip(*forest.links)] or [np.array([], np.int64)] * 2
     return pa.table({"src": every[links[0]], "dst": every[links[1]]})
 
@@ -158,25 +187,43 @@ def _prefix(print_col, depth: int):
     return F.shiftrightunsigned(print_col, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def links(prints: DataFrame, bits: int, cell: int = CELL) -> DataFrame:
-    """``src``, ``dst``: for each connected group of distinct ``print`` values enough links to connect it."""
-    spark = prints.sparkSession
+def rotated_links(prints: DataFrame, bits: int, turns: int, cell: int = CELL) -> DataFrame:
+    """``src``, ``dst``: as ``links``, by one walk for each of ``turns`` rotations of the bits, which budgets of 15 bits and more need.
+
+    Every link of ``bits`` is met by some walk, and each walk keeps the nearest links that connect a group.
+    """
+    turned = lambda c, by: F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by)) if by else F.col(c)
+    found = None
+    for by in range(0, 64, 64 // turns):
+        part = links(prints.select(turned("print", by).alias("print")), bits, cell, turns)
+        part = part.select(turned("src", 64 - by if by else 0).alias("src"), turned("dst", 64 - by if by else 0).alias("dst"))
+        found = part if found is None else found.union(part)
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def links(prints: DataFrame, bits: int, cell: int = CELL, turns: int = 1) -> DataFrame:
+    """``src``, ``dst``: for each connected group of distinct ``print`` values enough links to connect it.
+
+    With several ``turns`` the walk keeps to the budgets of one rotation, and no node lies deeper than its first window.
+    """
+    spark, allowed = prints.sparkSession, budgets(bits, turns)
     # Leaf nodes: the shallowest subtrees of at most `cell` fingerprints.
     rest, depth, leaves, depths = prints, 0, None, []
     while True:
         counts = stored(rest.groupBy(_prefix(F.col("print"), depth).alias("prefix")).agg(F.count("*").alias("n")), "nodes")
-        small = counts.filter(F.col("n") <= cell).select(F.lit(depth).alias("depth"), "prefix")
+        deepest = depth >= 64 // turns
+        small = (counts if deepest else counts.filter(F.col("n") <= cell)).select(F.lit(depth).alias("depth"), "prefix")
         leaves = small if leaves is None else leaves.union(small)
         depths.append(depth)
         big = counts.filter(F.col("n") > cell)
-        if depth == 64 or big.isEmpty():
+        if deepest or big.isEmpty():
             break
         rest = rest.join(big.select("prefix"), _prefix(F.col("print"), depth) == big["prefix"], "left_semi")
         depth += STEP
     leaves = stored(leaves, "leaves")
 
     # Pairs of leaf nodes: what a node may meet at its own depth, against the ancestors of the deeper or equal ones.
-    flips = {d: [0] + [sum(1 << p for p in c) for k in range(1, bits + 1) for c in combinations(range(d), k)] for d in depths}
+    flips = {d: [0] + [sum(1 << p for p in c) for k in range(1, int(allowed[d]) + 1) for c in combinations(range(d), k)] for d in depths}
     meets = reduce(DataFrame.union, [
         leaves.filter(F.col("depth") == d).select(
             "depth", "prefix", F.explode(F.array(*map(F.lit, flips[d]))).alias("flip")
@@ -202,7 +249,7 @@ def links(prints: DataFrame, bits: int, cell: int = CELL) -> DataFrame:
         prints.select("print", F.lit(d).alias("depth"), _prefix(F.col("print"), d).alias("prefix")) for d in depths
     ])
     rows = placed.join(sides, ["depth", "prefix"]).select("cell", "side", "alone", "print")
-    found = rows.groupBy("cell").applyInArrow(lambda t: _cell_links(t, bits), "src long, dst long")
+    found = rows.groupBy("cell").applyInArrow(lambda t: _cell_links(t, bits, turns), "src long, dst long")
     return stored(found, "links")
 
 
