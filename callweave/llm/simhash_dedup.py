@@ -30,26 +30,33 @@ CELL = 1 << 16
 STEP = 4
 #: Shingles whose bits are counted at once, and node pairs that are walked at once.
 SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 1 << 18
+#: A node pair: its two ranges, depth and errors; pairs of small subtrees whose leaves are compared at once.
+NODE_PAIR, LEAVES_AT_ONCE = (np.int32, np.int32, np.int32, np.int32, np.uint8, np.uint8), 1 << 12
 #: Links of a cell that are sorted by distance at once.
 LINKS_AT_ONCE = 1 << 22
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of whole ``text``: bit b is set when it is set in over half of the shingles' XXH64 values."""
+def run_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 values of the runs of ``shingle`` words of whole ``text``, repeats included, some at once; a shorter text is one run."""
     words = text.lower().split()  # of bytes: lowers A-Z only, splits at ASCII white space only
     if not words:
-        return 0
+        return
     spaced = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n].tolist(), ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, SHINGLES_AT_ONCE):
-        part = [digest(spaced[s:e], seed) for s, e in zip(starts[at:at + SHINGLES_AT_ONCE], ends[at:at + SHINGLES_AT_ONCE])]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([digest(spaced[s:e], seed) for s, e in zip(starts[at:at + SHINGLES_AT_ONCE], ends[at:at + SHINGLES_AT_ONCE])], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of whole ``text``: bit b is set when it is set in over half of the shingles' XXH64 values."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in run_hashes(text, shingle, seed):
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -81,7 +88,7 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int
     allowed = budgets(bits) if allowed is None else allowed
     own = b is None
     other = a if own else b
-    stack = [tuple(np.array([x], np.int64) for x in (0, len(a), 0, len(other), depth, error))]
+    stack = [tuple(np.array([x], kind) for x, kind in zip((0, len(a), 0, len(other), depth, error), NODE_PAIR))]
     while stack:
         a0, a1, b0, b1, deep, err = stack.pop()
         if len(a0) > PAIRS_AT_ONCE:
@@ -89,7 +96,7 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int
             stack += [tuple(x[:half] for x in (a0, a1, b0, b1, deep, err)), tuple(x[half:] for x in (a0, a1, b0, b1, deep, err))]
             continue
         # Small subtrees: what is left of the walk is a comparison of their few leaves.
-        small = ((a1 - a0) * (b1 - b0) <= 64) | (deep == 64)
+        small = ((a1 - a0).astype(np.int64) * (b1 - b0) <= 64) | (deep == 64)
         if small.any():
             yield from _leaves(a, other, a0[small], a1[small], b0[small], b1[small], own, bits)
         a0, a1, b0, b1, deep, err = (x[~small] for x in (a0, a1, b0, b1, deep, err))
@@ -98,7 +105,7 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int
         bit = np.uint64(1) << (63 - deep).astype(np.uint64)
         am = np.searchsorted(a, (a[a0] & ~(bit | (bit - np.uint64(1)))) | bit)
         bm = np.searchsorted(other, (other[b0] & ~(bit | (bit - np.uint64(1)))) | bit)
-        am, bm = np.clip(am, a0, a1), np.clip(bm, b0, b1)
+        am, bm = np.clip(am, a0, a1).astype(np.int32), np.clip(bm, b0, b1).astype(np.int32)
         steps = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), (am, a1, b0, bm, err + 1)]
         if own:  # of two mirrored pairs one is enough
             same = a0 == b0
@@ -111,8 +118,8 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, bits: int
 
 
 def _leaves(a, b, a0, a1, b0, b1, own, bits) -> Iterator[tuple]:
-    for at in range(0, len(a0), 1 << 14):
-        p0, p1, q0, q1 = (x[at:at + (1 << 14)] for x in (a0, a1, b0, b1))
+    for at in range(0, len(a0), LEAVES_AT_ONCE):
+        p0, p1, q0, q1 = (x[at:at + LEAVES_AT_ONCE] for x in (a0, a1, b0, b1))
         sizes = (p1 - p0) * (q1 - q0)
         pair = np.repeat(np.arange(len(p0)), sizes)
         at_pair = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -121,7 +128,7 @@ def _leaves(a, b, a0, a1, b0, b1, own, bits) -> Iterator[tuple]:
         near = np.bitwise_count(a[i] ^ b[j]) <= bits
         if own:
             near &= i < j
-        yield i[near], j[near]
+        yield i[near].astype(np.int32), j[near].astype(np.int32)
 
 
 class Forest:

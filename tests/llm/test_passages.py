@@ -100,3 +100,19 @@ def test_repeated_words(spark, words, seed):
     assert {r.doc_id or 0: (r.kept, r.n_removed) for r in got} == dict(enumerate(want)) and any(n for _, n in want)
     assert all(r.extra.runs == "r" for r in got)
     assert remove_repeated_words(docs.limit(0)).collect() == []
+
+
+def test_words_are_hashed_and_sampled_by_one_python_worker(spark, monkeypatch):
+    from callweave.llm import passage_dedup
+
+    plans, write = {}, passage_dedup.stored
+
+    def stored(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(passage_dedup, "stored", stored)
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "a " + text)], "doc_id long, text string")
+    assert [r.n_removed for r in passage_dedup.remove_repeated_words(docs, words=50).collect()] == [80, 80]
+    assert plans["sample"].count("MapInArrow") == 1
