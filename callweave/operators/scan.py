@@ -65,3 +65,47 @@ def pages(df: DataFrame, keys: list[str], order: list[str], value: Column, rows:
             F.array_sort(F.collect_list(F.struct("position", "_value"))), lambda s: s["_value"]
         ).alias(name)
     )
+
+
+def sorted_runs(rows: DataFrame, key: str, order: list[str], build, schema: str) -> DataFrame:
+    """One row per value of ``key``, built from its rows in ``order``; null is a value.
+
+    ``rows`` must be partitioned by ``key``.  Spark sorts them, and Arrow cuts the sorted stream where the key changes, so small groups
+    cost no object of their own and a task holds a batch and the group that is open at its end.  ``build`` gets whole groups as a
+    table, their keys, and the first row of each group with the number of rows behind the last.
+    """
+
+    def cuts(ids):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        return np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def built(parts):
+            whole = pa.Table.from_batches(parts)
+            ids = whole.column(key).combine_chunks()
+            first = np.concatenate(([0], cuts(ids), [len(ids)])).astype(np.int32)
+            return build(whole, ids.take(pa.array(first[:-1])), first).to_batches(max_chunksize=10_000)
+
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch.column(key)
+            found = cuts(pa.concat_arrays([held[-1].column(key).slice(len(held[-1]) - 1), ids])) - 1 if held else cuts(ids)
+            if not len(found):
+                held.append(batch)
+                continue
+            if len(parts := [x for x in (*held, batch.slice(0, found[-1])) if len(x)]):
+                yield from built(parts)
+            held = [batch.slice(found[-1])]
+        if held:
+            yield from built(held)
+
+    return rows.sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_rows
+from ..functions.text import word_rows, words
 from ..session import materialize
 from .joins import bounded_broadcast, top_k
+from .scan import sorted_runs
 
 #: Rows of a block, term counts of a block and queries of a page: what one task holds of each.
 BLOCK_ROWS, BLOCK_CELLS, PAGE_QUERIES = 20_000, 2_000_000, 2_000
+#: Different words of all queries up to which every task gets them; beyond, words meet them by a join.
+INDEX_TERMS = 100_000
 
 
 def _blocked(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, n_rows: int, n_queries: int, n_cells: int = 0):
@@ -114,6 +117,31 @@ def score_postings(counted: DataFrame, asked: DataFrame, n_docs: int, mean_lengt
     )
 
 
+def _indexer(terms: list[str], mean: float, k1: float, b: float):
+    """Builder of index rows ``(doc_id, found)`` from the words of a batch's texts; texts of equal id and length count as one."""
+
+    def index(rows, ids, first):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = rows.column("words").combine_chunks()
+        size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        run = np.repeat(np.arange(len(ids)), np.diff(first))
+        # One number per id and length; the text of a cell is the first that has it.
+        _, text, same = np.unique(np.stack([run, size]), axis=1, return_index=True, return_inverse=True)
+        place = pc.fill_null(pc.index_in(found.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        known = place >= 0
+        cell, tf = np.unique(np.repeat(same.reshape(-1), size)[known] * max(len(terms), 1) + place[known], return_counts=True)
+        text, term = text[cell // max(len(terms), 1)], cell % max(len(terms), 1)
+        gain = (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size[text] / mean))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(run[text], minlength=len(ids))))).astype(np.int32)
+        cells = pa.StructArray.from_arrays([pa.array(terms, pa.string()).take(pa.array(term)), pa.array(gain)], ["term", "gain"])
+        return pa.table([ids, pa.ListArray.from_arrays(pa.array(ends), cells)], ["doc_id", "found"])
+
+    return index
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Best documents per query by BM25 among those that share a term with it.
 
@@ -166,9 +194,19 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     ).first()
     n_docs, mean = sizes["n"] or 0, float(sizes["mean"] or 1.0)
     gain = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    counted = postings(docs.select("doc_id", "text"), asked)
-    index = materialize(
-        counted.groupBy("doc_id").agg(F.collect_list(F.struct("term", gain.alias("gain"))).alias("found")), "index")
+    counted = lambda rows: postings(rows.select("doc_id", "text"), asked).groupBy("doc_id").agg(
+        F.collect_list(F.struct("term", gain.alias("gain"))).alias("found"))
+    terms = [r["term"] for r in asked.select("term").distinct().limit(INDEX_TERMS + 1).collect()]
+    if len(terms) > INDEX_TERMS:
+        index = materialize(counted(docs), "index")
+    else:
+        # Texts are brought together by id once and counted there; those without an id, which make one row, meet as counts.
+        texts = docs.filter("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id").select(
+            "doc_id", words(F.col("text")).alias("words"))
+        found = "array<struct<term:string,gain:double>>"
+        index = materialize(
+            sorted_runs(texts, "doc_id", [], _indexer(terms, mean, k1, b), f"doc_id {_type(docs, 'doc_id')}, found {found}")
+            .filter("size(found) > 0").unionByName(counted(docs.filter("doc_id IS NULL"))), "index")
     idf = index.select(F.explode("found.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select(
         "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = materialize(asked.join(idf, "term"), "weighted")

@@ -271,13 +271,18 @@ HYBRID = [
 
 
 def call_texts(spark, sf):
-    """``(transcript_id, text, vector)`` of calls with lines; an order has few."""
+    """``(transcript_id, text, vector)`` of calls with lines; an order has few.
+
+    Calls are written with the number of their vector; the vector stands beside them when they are read.
+    """
     said = F.transform(F.array_sort(F.collect_list(F.struct("pair_index", "utterance"))), lambda s: s["utterance"])
     texts = named_hits(spark, sf).groupBy("transcript_id").agg(F.array_join(said, " ").alias("text"))
     items = v.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     placed = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("transcript_id"), (F.col("o_orderkey") % items.count()).alias("vec_id"))
-    return texts.join(placed.join(items, "vec_id").drop("vec_id"), "transcript_id", "full")
+    known = placed.join(items.select("vec_id").distinct(), "vec_id", "left_semi")
+    calls = materialize(texts.join(known, "transcript_id", "full"), "call-texts")
+    return calls.join(items, "vec_id", "left").select("transcript_id", "text", "vector")
 
 
 @check("hybrid_retrieve", """
@@ -290,8 +295,7 @@ SELECT query_id, transcript_id, round(score, 6) AS score, cast(rank AS BIGINT) A
 def hybrid_retrieve(spark, sf):
     questions = question_text(spark, sf).join(
         v.question_vectors(spark, sf).withColumnRenamed("query_vector", "vector"), "query_id", "left")
-    calls = materialize(call_texts(spark, sf), "call-texts")
-    found = retrieve.hybrid_retrieve(materialize(questions, "asked"), calls, adjacency_star(spark, sf), questions_star(spark, sf))
+    found = retrieve.hybrid_retrieve(materialize(questions, "asked"), call_texts(spark, sf), adjacency_star(spark, sf), questions_star(spark, sf))
     return found.select("query_id", "transcript_id", F.round("score", 6).alias("score"), F.col("rank").cast(LONG).alias("rank"),
                         "keyword_rank", "vector_rank", "graph_rank")
 

@@ -1,6 +1,6 @@
 """Fused retrieval: every leg takes part, and a missing leg is no loss."""
 
-from callweave.operators import graph
+from callweave.operators import graph, search
 from callweave.plans import retrieve
 
 
@@ -29,3 +29,44 @@ def test_three_legs_and_missing_ones(spark):
     for rows in got.values():
         for _, *ranks, score in rows.values():
             assert abs(score - sum(1 / (60 + r) for r in ranks if r)) < 1e-11
+
+
+def test_index_counts_words_where_texts_lie(spark, monkeypatch):
+    texts = [(f"d{i % 7}", "lost bag, lost plane" if i % 3 else "Bag refund late") for i in range(40)]
+    docs = spark.createDataFrame(texts + [(None, "bag bag"), (None, "plane bag"), ("e", None), ("f", ""), ("g", "nothing here")], "doc_id string, text string")
+    queries = spark.createDataFrame([("a", "lost bag"), ("b", "refund plane"), ("c", None)], "query_id string, text string")
+    plans, write = [], search.materialize
+
+    def watched(df, label="state", *rest):
+        if label == "index":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, *rest)
+
+    def run(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(search, name, value)
+        return sorted((r.query_id, r["rank"], r.doc_id or "", round(r.score, 9)) for r in search.bm25_topk(docs, queries, 6).collect())
+
+    monkeypatch.setattr(search, "materialize", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        here = run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plans[0] and plans[0].count("Generate") == 1  # words of texts without an id only are rows of their own
+    joined = run(INDEX_TERMS=0)
+    assert "MapInArrow" not in plans[1]
+    at = lambda rows, ids: [r for r in rows if r[2] in ids]
+    assert {r[2] for r in here} and [r[:2] for r in here] == [r[:2] for r in joined]
+    assert at(here, ("", "e", "f", "g")) == at(joined, ("", "e", "f", "g"))
+
+
+def test_index_equals_the_joined_one(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, " ".join(w for k, w in enumerate(("lost", "bag", "late", "plane", "refund", "bag")) if i >> k & 1)) for i in range(64)]
+        + [(3, "lost bag"), (None, "bag bag"), (None, "plane")], "doc_id long, text string")
+    queries = spark.createDataFrame([("a", "lost bag"), ("b", "refund plane")], "query_id string, text string")
+    run = lambda: sorted((r.query_id, r["rank"], r.doc_id or -1, round(r.score, 9)) for r in search.bm25_topk(docs, queries, 8).collect())
+    here = run()
+    monkeypatch.setattr(search, "INDEX_TERMS", 0)
+    assert here == run() and len(here) == 16
