@@ -190,6 +190,32 @@ def _cell_links(table: pa.Table, bits: int, turns: int = 1) -> pa.Table:
     return pa.table({"src": every[links[0]], "dst": every[links[1]]})
 
 
+def first_met(apart: np.ndarray, bits: int, turn: int, turns: int) -> np.ndarray:
+    """Whether rotation ``turn`` is the first that keeps pairs with these differing bits, as they lie in it; each pair of ``bits`` has one."""
+    width = 64 // turns
+    inside = np.array([np.bitwise_count(apart << np.uint64(width * k) >> np.uint64(64 - width)) for k in range(turns)], np.int64).reshape(turns, -1)
+    share = budgets(bits, turns)[width::width, None]
+    keeps = lambda by: (np.cumsum(np.roll(inside, by, axis=0), axis=0) <= share).all(axis=0)
+    return reduce(lambda met, by: met & ~keeps(by), range(1, turn + 1), keeps(0))
+
+
+def _cell_pairs(table: pa.Table, bits: int, turn: int, turns: int) -> Iterator[pa.RecordBatch]:
+    """All pairs that are first met in this rotation, without those within a ``part``; null is in none."""
+    side, prints = table.column("side").to_numpy(), table.column("print").to_numpy().view(np.uint64)
+    order = np.lexsort((prints, side))
+    prints, n = prints[order], int((side == 0).sum())
+    loose = table.column("part").is_null().to_numpy()[order]
+    part = table.column("part").fill_null(0).to_numpy()[order]
+    alone = bool(table.column("alone")[0].as_py())
+    for i, j in _walk(prints[:n], None if alone else prints[n:], 0, 0, bits, budgets(bits, turns)):
+        j = j if alone else j + n
+        left = (part[i] != part[j]) | loose[i] | loose[j]
+        i, j = i[left], j[left]
+        first = first_met(prints[i] ^ prints[j], bits, turn, turns)
+        src, dst = (pa.array(prints[x[first]].view(np.int64)) for x in (i, j))
+        yield pa.RecordBatch.from_arrays([src, dst], ["src", "dst"])
+
+
 def _prefix(print_col, depth: int):
     return F.shiftrightunsigned(print_col, 64 - depth) if depth else F.lit(0).cast("long")
 
@@ -199,13 +225,32 @@ def rotated_links(prints: DataFrame, bits: int, turns: int, cell: int = CELL) ->
 
     Every link of ``bits`` is met by some walk, and each walk keeps the nearest links that connect a group.
     """
+    return _rotated(prints, turns, lambda turned, _: links(turned, bits, cell, turns)).distinct()
+
+
+def rotated_pairs(prints: DataFrame, bits: int, turns: int, cell: int = CELL) -> DataFrame:
+    """``src``, ``dst``: all pairs of at most ``bits`` differing bits among distinct ``print`` values, each once, but those within one ``part``.
+
+    A ``part`` is a number, or null for a print all of whose pairs count.  A task gives out its pairs as it meets them.
+    """
+    def met(turned: DataFrame, turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _cell_pairs(pa.Table.from_batches(batches), bits, turn, turns)
+
+        return stored(_met_cells(turned, bits, cell, turns).groupBy("cell").applyInArrow(run, "src long, dst long"), "met")
+
+    return _rotated(prints, turns, met)
+
+
+def _rotated(prints: DataFrame, turns: int, walk) -> DataFrame:
+    """What ``walk`` finds in each rotation of the prints, turned back."""
     turned = lambda c, by: F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by)) if by else F.col(c)
     found = None
-    for by in range(0, 64, 64 // turns):
-        part = links(prints.select(turned("print", by).alias("print")), bits, cell, turns)
+    for turn, by in enumerate(range(0, 64, 64 // turns)):
+        part = walk(prints.withColumn("print", turned("print", by)), turn)
         part = part.select(turned("src", 64 - by if by else 0).alias("src"), turned("dst", 64 - by if by else 0).alias("dst"))
         found = part if found is None else found.union(part)
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def links(prints: DataFrame, bits: int, cell: int = CELL, turns: int = 1) -> DataFrame:
@@ -213,7 +258,13 @@ def links(prints: DataFrame, bits: int, cell: int = CELL, turns: int = 1) -> Dat
 
     With several ``turns`` the walk keeps to the budgets of one rotation, and no node lies deeper than its first window.
     """
-    spark, allowed = prints.sparkSession, budgets(bits, turns)
+    rows = _met_cells(prints.select("print"), bits, cell, turns)
+    return stored(rows.groupBy("cell").applyInArrow(lambda t: _cell_links(t, bits, turns), "src long, dst long"), "links")
+
+
+def _met_cells(prints: DataFrame, bits: int, cell: int, turns: int) -> DataFrame:
+    """The rows of ``prints`` with every ``cell``, a pair of leaf nodes within the budget, that they lie in, and their ``side`` of it."""
+    allowed = budgets(bits, turns)
     # Leaf nodes: the shallowest subtrees of at most `cell` fingerprints.
     rest, depth, leaves, depths = prints, 0, None, []
     while True:
@@ -253,11 +304,9 @@ def links(prints: DataFrame, bits: int, cell: int = CELL, turns: int = 1) -> Dat
         cells.filter("not alone").select(F.lit(1), "depth2", "prefix2", F.struct("depth", "prefix", "depth2", "prefix2"), "alone")
     )
     placed = reduce(DataFrame.union, [
-        prints.select("print", F.lit(d).alias("depth"), _prefix(F.col("print"), d).alias("prefix")) for d in depths
+        prints.select("*", F.lit(d).alias("depth"), _prefix(F.col("print"), d).alias("prefix")) for d in depths
     ])
-    rows = placed.join(sides, ["depth", "prefix"]).select("cell", "side", "alone", "print")
-    found = rows.groupBy("cell").applyInArrow(lambda t: _cell_links(t, bits, turns), "src long, dst long")
-    return stored(found, "links")
+    return placed.join(sides, ["depth", "prefix"]).select("cell", "side", "alone", *prints.columns)
 
 
 def near_components(

@@ -85,3 +85,22 @@ def alike(batches, size):
 
     for batch in batches:  # every text has the same fingerprint
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * batch.num_rows, pa.int64())], ["node", "print"])
+
+
+def test_every_pair_that_fingerprints_meet_is_decided(spark, monkeypatch):
+    """Pairs behind links of texts that are not similar, and pairs between the least and the greatest text of one fingerprint."""
+    from callweave.llm import near_dedup
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts])), "doc_id long, text string")
+    for prints in (alike, crowded):
+        monkeypatch.setattr(near_dedup, "_prints", prints)
+        assert sorted(r.doc_id for r in keep_one(docs).collect()) == list(range(20))
+
+
+def crowded(batches, size):
+    import pyarrow as pa
+
+    for batch in batches:  # seven fingerprints, of which any two differ in two bits
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 << n % 7 for n in batch.column(0).to_pylist()], pa.int64())], ["node", "print"])

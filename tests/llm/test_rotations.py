@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from callweave.llm import near_dedup
-from callweave.llm.simhash_dedup import rotated_links
+from callweave.llm.simhash_dedup import rotated_links, rotated_pairs
 
 
 def roots(n, links):
@@ -44,3 +44,18 @@ def apart(batches, size):
     for batch in batches:
         prints = np.array([0 if t.as_py().endswith("w299") else -1 for t in batch.column(1)], np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["node", "print"])
+
+
+def test_all_pairs_of_the_budget_but_those_within_a_part(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) for _ in range(120)]
+    for p in prints[:100]:
+        prints.append(p ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 8, 14, 15, 16]))))
+    prints += [p ^ 1 << b for p in prints[:3] for b in range(12)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    part = [rng.choice([None, 1, 2, 3]) for _ in prints]
+    rows = spark.createDataFrame(list(zip(signed, part)), "print long, part long")
+    want = sorted((min(signed[i], signed[j]), max(signed[i], signed[j])) for j in range(len(prints)) for i in range(j)
+                  if (prints[i] ^ prints[j]).bit_count() <= 15 and (part[i] is None or part[i] != part[j]))
+    for cell in (1 << 16, 20):
+        assert sorted((r.src, r.dst) for r in rotated_pairs(rows, 15, 4, cell).collect()) == want
