@@ -1,6 +1,7 @@
 """MMR, Ward clustering, vector and keyword search against brute force."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -200,6 +201,22 @@ def test_ward_in_groups_of_small_blocks(spark, monkeypatch):
     assert parts(ward.cluster_vectors(vector_rows(spark, points), 6, 40, 8).collect()) == brute_ward(points, 6)
 
 
+def test_ward_rounds_leave_no_tables_of_clusters(spark, monkeypatch):
+    """A round copies no vectors for its search and deletes what the one before has left."""
+    tables, write = [], ward.materialize
+
+    def materialize(df, label="state"):
+        tables.append((label, write(df, label)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(ward, "materialize", materialize)
+    points = np.random.default_rng(12).normal(size=(60, 3))
+    found = ward.cluster_vectors(vector_rows(spark, points), 5, 20, 10)
+    left = [label for label, df in tables if "vector" in df.columns and os.path.exists(df.inputFiles()[0].removeprefix("file://"))]
+    assert left == ["points"] and sum(label == "points" for label, _ in tables) > 3  # that after the last round
+    assert parts(found.collect()) == brute_ward(points, 5)
+
+
 def test_keyword_blocks_are_bounded_by_term_counts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + int(x))}" for x in rng.integers(0, 9, 12))) for i in range(60)], "doc_id long, text string")
