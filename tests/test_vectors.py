@@ -201,6 +201,17 @@ def test_ward_in_groups_of_small_blocks(spark, monkeypatch):
     assert parts(ward.cluster_vectors(vector_rows(spark, points), 6, 40, 8).collect()) == brute_ward(points, 6)
 
 
+def test_ward_compares_no_rows_of_one_name():
+    rng = np.random.default_rng(13)
+    vectors, weight = rng.normal(size=(30, 4)), rng.integers(1, 5, 30).astype(float)
+    for names in (np.repeat(np.arange(15), 2), np.repeat([f"c{i:02d}" for i in range(10)], 3).astype(object)):
+        costs = np.where(names[:, None] == names[None, :], np.inf, ward._costs(vectors, weight, vectors, weight))
+        height, place = ward._best((vectors, weight, names), (vectors, weight, names))
+        assert (height == costs.min(axis=1)).all() and (place == costs.argmin(axis=1)).all()
+        alone = (vectors[:2], weight[:2], names[:2])  # a block of one name holds nothing nearer
+        assert np.isinf(ward._best(alone, alone)[0]).all()
+
+
 def test_ward_rounds_leave_no_tables_of_clusters(spark, monkeypatch):
     """A round copies no vectors for its search and deletes what the one before has left."""
     tables, write = [], ward.materialize
